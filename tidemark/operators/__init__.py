@@ -1,0 +1 @@
+"""Operators of the engine, built on the DataFrame API."""

@@ -1,0 +1 @@
+"""Plans of the engine, built on the DataFrame API."""

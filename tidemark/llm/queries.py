@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, substring
+from . import decontaminate, html_text, packing, quality, simhash, substring, warc
 from .common import table
 
 
@@ -34,6 +34,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -44,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_decontaminate, op5_quality_rules, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_decontaminate, op5_quality_rules, op7_html_text, op8_warc, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

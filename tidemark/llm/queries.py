@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, simhash, substring, warc
+from . import decontaminate, html_text, packing, quality, simhash, substring, url_filter, warc
 from .common import table
 
 
+#: The rules of the contract, and hosts known for spam where no rule fits.
+BLOCK_RULES, ALLOW_RULES = ["com/en/", "example.net/de/8", "org/es/"], ["example.com/en/7", "net/de/"]
+SPAM_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), BLOCK_RULES, ALLOW_RULES, SPAM_HOSTS)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_decontaminate, op5_quality_rules, op7_html_text, op8_warc, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_decontaminate, op5_quality_rules, op7_html_text, op8_warc, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, simhash, substring, url_filter, warc
+from . import decontaminate, html_text, materialise, packing, quality, simhash, substring, toxicity, url_filter, warc
 from .common import table
 
 
@@ -28,6 +28,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.write_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return book.select(
@@ -61,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_decontaminate, op5_quality_rules, op7_html_text, op8_warc, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_decontaminate, op4_toxicity, op5_quality_rules, op6_training_order, op7_html_text, op8_warc, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import slices, utf8_list
 
@@ -122,16 +123,19 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     ``keep`` names further columns of the documents to carry along.
     """
     spark = documents.sparkSession
-    found = documents.select("doc_id", "text", *keep)
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (found.select(*keep).schema if keep else ()))
+    others = [f"`{c}`" for c in keep if c not in ("doc_id", "text")]
+    found = documents.select("doc_id", "text", *others)
+    own, rest = StructType.fromDDL(HITS).fields, found.select(*others).schema.fields if others else []
     blocks = [spark.sparkContext.broadcast(compile_patterns(block, window)) for block in _pattern_blocks(benchmark, block_bytes)]
     for at, block in enumerate(blocks):
         last = at == len(blocks) - 1
-        found = found.mapInArrow(_scanner(block, at == 0, last, keep), HITS + (extra if last else ", text string" + extra))
+        text = [] if last and "text" not in keep else [StructField("text", StringType())]
+        schema = StructType(own + text + rest)
+        found = found.mapInArrow(_scanner(block, at == 0, schema.names), schema)
     return found
 
 
-def _scanner(sets, first: bool, last: bool, keep: tuple[str, ...]):
+def _scanner(sets, first: bool, names: list[str]):
     """A scan for one block of patterns, which adds to what earlier blocks have found in the same row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,6 @@ def _scanner(sets, first: bool, last: bool, keep: tuple[str, ...]):
                 hits.append(np.array(runs, "<i4").tobytes())
                 items.append(sorted(owners.union(owned)))
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "hits", "items"] + ([] if last else ["text"]) + list(keep)
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in names[4:]], names=names)
 
     return run
@@ -183,9 +186,8 @@ def sha256_of(items: Iterable[str]) -> str:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit word, with their own columns."""
-    keep = tuple(c for c in documents.columns if c not in ("doc_id",))
-    if {"n_words", "hits", "items"} & set(keep):
-        clash = {c: f"__{c}" for c in keep if c in ("n_words", "hits", "items")}
-        return remove_contaminated(documents.withColumnsRenamed(clash), benchmark, window).withColumnsRenamed({v: k for k, v in clash.items()})
-    found = find_hits(documents, benchmark, window, keep=keep)
-    return found.where(F.length("hits") == 0).select(*documents.columns)
+    clash = {c: f"__{c}" for c in documents.columns if c.lower() in ("n_words", "hits", "items")}
+    plain = documents.withColumnsRenamed(clash)
+    found = find_hits(plain, benchmark, window, keep=tuple(plain.columns))
+    back = found.where(F.length("hits") == 0).select(*[F.col(f"`{c}`") for c in plain.columns])
+    return back.withColumnsRenamed({new: old for old, new in clash.items()})

@@ -291,8 +291,15 @@ def hex_digits(column: str):
 
 
 def one_of_each_group(documents: DataFrame, size: int = 3) -> DataFrame:
-    """The documents without those whose group holds a smaller doc_id; of repeated rows of a doc_id one stays."""
-    groups = near_duplicates(documents, size)
-    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(leaders, "doc_id", "left_semi").select(*documents.columns)
-    return kept.dropDuplicates(["doc_id"])
+    """The documents without those whose group holds a smaller doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id have no name to be dropped by and stay.
+    """
+    scratch = Scratch(documents.sparkSession, "simhash")
+    groups = scratch.save(near_duplicates(documents, size), "groups")
+    later = groups.where("doc_id != component_id").select("doc_id").distinct()
+    kept = documents.join(later, "doc_id", "left_anti").select(*documents.columns)
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))

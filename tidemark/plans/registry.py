@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import aggregates, changing, files_and_streams, joins, scalars, scans, searching, subqueries, windowing  # noqa: F401  (they register)
+from .core import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,9 +40,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, weigh: str | None
             yield batch.slice(start)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def shielded(frame: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on a frame whose columns of these names (in any case) go by others meanwhile."""
+    clash = {c: f"own__{c}" for c in frame.columns if c.lower() in names}
+    done = work(frame.withColumnsRenamed(clash)) if clash else work(frame)
+    return done.withColumnsRenamed({new: old for old, new in clash.items()}) if clash else done

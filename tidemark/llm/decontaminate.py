@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import slices, utf8_list
+from .common import shielded, slices, utf8_list
 
 #: A-Z to a-z; every other ASCII byte that is no digit or letter separates words; bytes from 0x80 on are word bytes.
 _WORD_BYTES = bytes(
@@ -186,8 +186,9 @@ def sha256_of(items: Iterable[str]) -> str:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit word, with their own columns."""
-    clash = {c: f"__{c}" for c in documents.columns if c.lower() in ("n_words", "hits", "items")}
-    plain = documents.withColumnsRenamed(clash)
-    found = find_hits(plain, benchmark, window, keep=tuple(plain.columns))
-    back = found.where(F.length("hits") == 0).select(*[F.col(f"`{c}`") for c in plain.columns])
-    return back.withColumnsRenamed({new: old for old, new in clash.items()})
+
+    def work(plain: DataFrame) -> DataFrame:
+        found = find_hits(plain, benchmark, window, keep=tuple(plain.columns))
+        return found.where(F.length("hits") == 0).select(*[F.col(f"`{c}`") for c in plain.columns])
+
+    return shielded(documents, ("n_words", "hits", "items"), work)

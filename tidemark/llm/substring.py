@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from . import anchors as an
 from .bwt import repeated
-from .common import slices, utf8_list
+from .common import shielded, slices, utf8_list
 
 FULL, EDGE, HOT = 0, 1, 2
 NO_ID = -(1 << 63)
@@ -395,9 +395,12 @@ def without_repeats(documents: DataFrame, **options) -> DataFrame:
 
     ``n_chars``, if there is such a column, follows the new text.  Columns keep their order.
     """
+    return shielded(documents, ("id_", "row_", "spans_"), lambda plain: _cut_repeats(plain, options))
+
+
+def _cut_repeats(documents: DataFrame, options: dict) -> DataFrame:
     names = documents.columns
     found = with_spans(documents, **options)
-    schema = found.select("text", "spans_").schema
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -405,7 +408,6 @@ def without_repeats(documents: DataFrame, **options) -> DataFrame:
 
         return pd.Series([t if r is None or t is None else without(t.encode(), merged(list(r))).decode("utf-8", "ignore") for t, r in zip(text, spans)], dtype=object)
 
-    assert schema["text"].dataType.simpleString() == "string"
     text = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(cut("text", "spans_"))
     out = found.withColumn("text", text)
     if "n_chars" in names:

@@ -93,7 +93,10 @@ def _keys(length: int, gram: int, buckets: int, held: int):
     """Map side of step 1: packs (key, whole, document, ordinal) by bucket; of equal fragments in the task only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         parts: list[list[np.ndarray]] = []
+        part = TaskContext.get().partitionId()
 
         def pack() -> Iterator[pa.RecordBatch]:
             key, whole, ids, rows, ordinal = (np.concatenate(x) for x in zip(*parts))
@@ -121,7 +124,7 @@ def _keys(length: int, gram: int, buckets: int, held: int):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, own.schema) as out:
                         out.write_batch(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([at // 4096 % buckets], pa.int32()), pa.array([b"M" + sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([(part + at // 4096) % buckets], pa.int32()), pa.array([b"M" + sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "payload"])
 
         count = 0
         for batch in slices(batches, 4096, "text", 1 << 20):

@@ -31,7 +31,7 @@ class Mask:
 
 @dataclass
 class Catalog:
-    """Lazy tables of one folder of Parquet files."""
+    """Lazy tables of one folder of Parquet files.  Times are read and shown in UTC."""
 
     spark: SparkSession
     folder: str
@@ -40,6 +40,9 @@ class Catalog:
     masks: dict[str, list[Mask]] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+
     def create(self, name: str, frame: DataFrame) -> None:
         """Name a DataFrame as a table."""
         self.frames[name.lower()] = frame

@@ -43,8 +43,8 @@ def bm25(documents: DataFrame, key: str, column: str, query: str) -> DataFrame:
     """
     terms = sorted(set(query_terms(query)))
     base = documents.select(key, tokens(F.col(column), stop=True).alias("t_")).select(key, F.size("t_").alias("len_"), F.filter("t_", lambda x: x.isin(*terms)).alias("hits_"))
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg("len_").alias("avg_len"))
-    n, avg = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
+    stats = base.agg(F.struct(F.count("*").alias("n_docs"), F.avg("len_").alias("avg_len")).alias("s")).scalar()
+    n, avg = stats["n_docs"], stats["avg_len"]
     tf = base.where(F.size("hits_") > 0).select(key, "len_", F.explode("hits_").alias("term")).groupBy(key, "len_", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

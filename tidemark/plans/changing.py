@@ -87,6 +87,21 @@ def merge_table(db):
     )
 
 
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'valid'")
+def insert_validated(db):
+    """Insert only rows that meet the checks, are new and have their parent; the others are what violates them."""
+    table = db.table("nation").select("n_nationkey", "n_name")
+    rows = db.spark.createDataFrame([(100, "valid"), (3, "taken"), (101, None), (-1, "negative")], "n_nationkey int, n_name string")
+    bad = constraints.check_violations(rows, F.col("n_nationkey") >= 0).unionByName(constraints.not_null_violations(rows, ["n_name"]))
+    good = rows.join(bad, "n_nationkey", "left_anti").join(table, "n_nationkey", "left_anti")
+    return changes.insert(table, good)
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '2' ELSE 'CURRENT' END AS deleted_tx FROM customer WHERE c_custkey = 7")
+def history_of_key(db):
+    return versions.history(_log(db)).where("c_custkey = 7").select("c_custkey", "deleted_tx")
+
+
 @query("SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'three' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 99, 'new'")
 def merge_values(db):
     values = db.spark.createDataFrame([(3, "three"), (99, "new")], "n_nationkey int, n_name string")

@@ -141,6 +141,15 @@ def json_contains(db):
     return db.table("events").select("event_id", json.contains(props, seven).alias("has_seven"), json.contains(F.concat(F.lit('{"x": 1, '), F.substr(props, F.lit(2))), seven).alias("inside"))
 
 
+@query("SELECT event_id, TRUE AS within, json_extract_string(props, '$.k') IN ('1', '2') AS among FROM events")
+def json_contained_by(db):
+    """The mirror image: a document within a larger one, and an element within a list."""
+    props = F.col("props")
+    larger = F.concat(F.lit('{"x": 1, '), F.substr(props, F.lit(2)))
+    among = json.array_contains_all(F.lit("[1, 2]"), F.to_json(F.array(json.get(props, "k").cast("long"))))
+    return db.table("events").select("event_id", json.contains(larger, props).alias("within"), among.alias("among"))
+
+
 @query("SELECT event_id, json_exists(props, '$.k') AS has_k, json_exists(props, '$.q') AS has_q FROM events")
 def json_has_key(db):
     return db.table("events").select("event_id", json.has_key(F.col("props"), "k").alias("has_k"), json.has_key(F.col("props"), "q").alias("has_q"))

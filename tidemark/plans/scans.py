@@ -74,6 +74,48 @@ def sample_scan(db):
     return sample_rows(db.table("events"), 10).agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'nation' AS name, 'table' AS kind UNION ALL SELECT 'open_orders', 'view'")
+def show_tables(db):
+    db.create_view("open_orders", "SELECT * FROM {orders} WHERE o_orderstatus = 'O'")
+    return db.show_tables().where("name IN ('nation', 'open_orders')")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 5 OR (o_orderstatus = 'P' AND o_totalprice > 200000)")
+def index_bitmap_or(db):
+    """What a bitmap combination of indexes answers: Parquet statistics and pushed filters do it in one scan."""
+    return db.table("orders").where((F.col("o_custkey") == 5) | ((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 200000))).select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal - 100 <= 5100 AND c_acctbal + 100 >= 5000")
+def index_range_overlap(db):
+    """Intervals [balance - 100, balance + 100] that overlap [5000, 5100]."""
+    lo, hi = F.col("c_acctbal") - 100, F.col("c_acctbal") + 100
+    return db.table("customer").where((lo <= 5100) & (hi >= 5000)).select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (5, 9)")
+def index_composite_layout(db):
+    """A copy sorted by (customer, key), so that row-group statistics skip what a composite index would."""
+    from ..scratch import Scratch
+
+    path = Scratch(db.spark, "layout").path("orders")
+    db.table("orders").repartitionByRange("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey").write.mode("overwrite").parquet(path)
+    return db.spark.read.parquet(path).where(F.col("o_custkey").isin(5, 9)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 5, 9, 13)")
+def positional_fetch(db):
+    """Rows by a set of keys: a semi-join whose small side Spark broadcasts below its own size threshold."""
+    wanted = db.spark.createDataFrame([(k,) for k in (1, 5, 9, 13)], "o_orderkey long")
+    return db.table("orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT TRUE AS has_scan, TRUE AS has_filter")
+def explain_plan(db):
+    plan = db.sql("EXPLAIN FORMATTED SELECT o_orderkey FROM {orders} WHERE o_totalprice > 1000")
+    return plan.select(F.col("plan").contains("Scan parquet").alias("has_scan"), F.col("plan").contains("PushedFilters").alias("has_filter"))
+
+
 @query("SELECT column_name AS name FROM (DESCRIBE orders)")
 def describe_table(db):
     return db.describe("orders").select("name")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, materialise, packing, quality, simhash, substring, toxicity, url_filter, warc
+from . import decontaminate, html_text, materialise, oracles, packing, quality, simhash, substring, toxicity, url_filter, warc
 from .common import table
 
 
@@ -76,4 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_url_filter": oracles.url_filter(BLOCK_RULES, ALLOW_RULES, SPAM_HOSTS),
+        "op3_decontaminate": oracles.DECONTAMINATE,
+        "op5_quality_rules": oracles.QUALITY,
+        "op8_warc": oracles.WARC,
+    }

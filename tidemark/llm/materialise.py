@@ -9,7 +9,7 @@ of one stride, so the record of a slot is found by a division, and a reader goes
 A record: slot (8 bytes), ids that are not padding (4), CRC-32 of the ids (4), all ids (2 bytes each, little-endian), a line end.
 
 Scale: between the steps the sequences lie compressed in the shared folder.  Shards are written in ``waves`` of slot ranges, so
-that only part of the corpus is in the shuffle at a time and an interrupted job goes on with the next wave.  The driver
+that only part of the corpus is in the shuffle at a time and a failure costs a wave at most.  The driver
 holds one number a task.
 
 Defined cases: null or empty text is the end id alone; repeated rows are written each; an empty table makes no sequence and
@@ -103,7 +103,7 @@ def sequences(documents: DataFrame, length: int, paths: tuple[str, str | None],
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
-        for batch in slices(batches, 4096, "text", 4 << 20):
+        for batch in slices(batches, 1024, "text", 1 << 20):
             found = encode([t or "" for t in batch.column("text").to_pylist()])
             at, parts = len(ids), [ids]
             for doc, own in zip(batch.column("doc_id").to_pylist(), found, strict=True):

@@ -7,7 +7,8 @@ most fully; that combination is then removed.
 
 Scale: only the number of pieces of each length matters to the plan, at most ``capacity`` counters whatever the
 corpus, so the plan is made from that histogram alone.  A combination is repeated as often as the counts allow, which
-exhausts a length each time or nearly so; the plan is a short list of (combination, repeats).  A piece finds its place
+exhausts a length each time or nearly so; the plan is a short list of (combination, repeats), and the best of several
+plans that differ in how much slack ends a search is taken.  A piece finds its place
 from its length and its rank among the pieces of that length: ranks come from counts per (block of pieces, length),
 whose running totals are the start of each block, so no length is gathered in one task.  Texts are read once; what is
 kept for the second step is one small row a piece.
@@ -63,11 +64,12 @@ def pieces(documents: DataFrame, capacity: int, paths: tuple[str, str | None], e
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def fullest(counts: list[int], room: int) -> list[tuple[int, int]]:
+def fullest(counts: list[int], room: int, slack: int = 0) -> list[tuple[int, int]]:
     """The combination of available lengths with the largest sum up to ``room``: (length, how many).
 
     ``counts[l]`` pieces of length l are available.  Lengths are offered from the longest; bit s of ``reach[i]`` says
-    whether the first i offers can sum to s.  Copies of a length are offered in powers of two.
+    whether the first i offers can sum to s.  Copies of a length are offered in powers of two.  No shorter lengths are
+    offered once a sum within ``slack`` of the room is in reach, which saves the short pieces for later.
     """
     target = (1 << (room + 1)) - 1
     offers, reach = [], [1]
@@ -79,7 +81,7 @@ def fullest(counts: list[int], room: int) -> list[tuple[int, int]]:
             reach.append((reach[-1] | reach[-1] << length * many) & target)
             left -= many
             step *= 2
-        if reach[-1] >> room:
+        if reach[-1] >> max(room - slack, 0):
             break
     total = reach[-1].bit_length() - 1
     used: dict[int, int] = {}
@@ -90,7 +92,16 @@ def fullest(counts: list[int], room: int) -> list[tuple[int, int]]:
     return sorted(used.items(), reverse=True)
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+#: Slacks that are tried; the plan with the fewest sequences is taken.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+
+
+def best_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """The shortest of the plans for several slacks."""
+    return min((plan(histogram, capacity, slack) for slack in SLACKS if slack < capacity), key=lambda steps: sum(repeats for repeats, _ in steps))
+
+
+def plan(histogram: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(repeats, combination) until every piece is placed; a combination is ((length, how many), ...)."""
     counts = [0] * (capacity + 1)
     for length, n in histogram.items():
@@ -99,7 +110,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tupl
     for longest in range(capacity, 0, -1):
         while counts[longest]:
             counts[longest] -= 1
-            found = dict(fullest(counts, capacity - longest))
+            found = dict(fullest(counts, capacity - longest, slack))
             counts[longest] += 1
             found[longest] = found.get(longest, 0) + 1
             repeats = min(counts[length] // n for length, n in found.items())
@@ -147,7 +158,7 @@ def pack(documents: DataFrame, capacity: int = 1024, paths: tuple[str, str | Non
     counts = scratch.save(made.groupBy("length", "block").agg(F.count("*").alias("n")), "counts")
     # at most `capacity` rows, whatever the input
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
+    places = spark.sparkContext.broadcast(Places(best_plan(histogram, capacity)))
     starts = block_starts(counts, "length", "block", "n")
     ranked = made.join(starts, ["length", "block"])
 

@@ -135,6 +135,8 @@ def test_html_text(table, none):
     assert html_text.main_text(PAGE) == "Title & more\n\nFirst para graph one.\n\nok\n\nBold start.\n\nUnclosed <tag>"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<div></div>") == ""
     assert html_text.main_text("<p>just a page of text</p>") == "just a page of text"
+    assert html_text.main_text('<div class="page-header">Site name of the page.</div><div class="post"><div class="post-header"><h2>Head</h2></div><p>Body text.</p></div>') == "Head\n\nBody text."
+    assert html_text.main_text('<ul class="menu"><li><a href="/">Home</a></ul><div><a href="/a">one</a> <a href="/b">two</a></div><p>A paragraph that says what it says, at some length.</p>') == "A paragraph that says what it says, at some length."
     assert html_text.main_text("<article><p>kept</p><!-- never closed <p>x</p>") == "kept"
     rows = {(r["page_id"], r["text"]): r["n_chars"] for r in html_text.extract(table).collect()}
     assert all(n == len(t) for (_, t), n in rows.items()) and rows[(4, "\n\n".join(f"paragraph {i} é漢 & more." for i in range(9000)))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -47,7 +47,6 @@ class Block:
     element: Element
     linked: int  # characters inside links
     kind: str
-    features: dict = field(default_factory=dict)
 
 
 def _element(tag: str, attributes: str, parent: Element | None) -> Element:
@@ -61,8 +60,8 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
         boiler = bool(marked & {"comment", "comments", "reply", "teaser", "related", "promo", "ad", "sponsored"})
     elif tag in ("main", "body", "html"):
         boiler = False
-    elif tag == "header":
-        boiler = not (parent and parent.content)
+    elif (tag == "header" or "header" in words) and not words & CONTENT_WORDS:
+        boiler = not (parent and parent.content) or bool(marked)
     else:
         boiler = tag in BOILER_TAGS or bool(marked) and (not wanted or not words & CONTENT_WORDS)
     above_boiler, above_content = (parent.boiler, parent.content) if parent else (False, False)
@@ -119,8 +118,6 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         elif tag in RAW:
-            if tag not in ("textarea",):
-                pass
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             if tag not in ("script", "style"):

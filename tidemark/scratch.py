@@ -24,11 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of one job's intermediate tables."""
+    """A folder of one job's intermediate tables, deleted when the driver's JVM ends.
+
+    DataFrames that an operator returns may read its tables until then.
+    """
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        files, path = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, place: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,5 +50,5 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(self.path(name))
+        files.delete(path, True)

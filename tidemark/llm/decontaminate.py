@@ -140,7 +140,7 @@ def _scanner(sets, first: bool, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = sets.value
-        for batch in slices(batches, 2048, "text", 16 << 20):
+        for batch in slices(batches, 1024, "text", 4 << 20):
             counts, hits, items = [], [], []
             earlier = [(b"", ())] * batch.num_rows if first else zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
             for text, (before, owned) in zip(utf8_list(batch.column("text")), earlier, strict=True):

@@ -64,7 +64,7 @@ def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
     """doc_id and the fingerprint as a signed long, one row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048, "text", 16 << 20):
+        for batch in slices(batches, 1024, "text", 4 << 20):
             values = np.array([fingerprint(t, size) for t in utf8_list(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 

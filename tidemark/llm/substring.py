@@ -321,7 +321,7 @@ def _free(scratch: Scratch) -> None:
     scratch.spark._jvm.System.gc()
 
 
-def repeated_spans(documents: DataFrame, length: int = 100, gram: int = 48, most: int = 4096, block: int = 6000, held: int = 1_500_000) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = 100, gram: int = 48, most: int = 4096, block: int = 6000, held: int = 800_000) -> DataFrame:
     """Per document that has any: id_, row_ and ``spans``, a list of int64 pairs [start, end) as bytes, which may overlap."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "substring")
@@ -378,7 +378,7 @@ def removal_report(documents: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096, "text", 16 << 20):
+        for batch in slices(batches, 1024, "text", 4 << 20):
             size, gone, runs, digest = [], [], [], []
             for text, raw in zip(utf8_list(batch.column("text")), batch.column("spans_").to_pylist(), strict=True):
                 spans = merged(raw) if raw else np.zeros((0, 2), np.int64)

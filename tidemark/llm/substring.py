@@ -14,7 +14,8 @@ and what follows works on one key at a time:
    length are the occurrences of one string; all but the first in the order of the corpus are removed.  The anchor,
    which all strings of a fragment hold, is one symbol there, and runs are told apart by key as well.
 3. A key with more than ``most`` distinct fragments (a passage in a third of the corpus, followed by something else each
-   time) is not gathered.  Its strings are dealt one by one by their own hash and the first of each is found by an
+   time) is not built; no more than its fragments' names have met in one task.  Its strings are dealt one by one by their own
+   hash and the first of each is found by an
    aggregation with map-side combining.
 
 Scale: step 1 shuffles 16 bytes and an ordinal for each fragment (about one in 26 bytes of text), after equal ones were
@@ -321,11 +322,12 @@ def _free(scratch: Scratch) -> None:
     scratch.spark._jvm.System.gc()
 
 
-def repeated_spans(documents: DataFrame, length: int = 100, gram: int = 48, most: int = 4096, block: int = 6000, held: int = 800_000) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = 100, gram: int = 48, most: int = 4096, block: int = 6000, held: int = 1_500_000) -> DataFrame:
     """Per document that has any: id_, row_ and ``spans``, a list of int64 pairs [start, end) as bytes, which may overlap."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "substring")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # at least 64, so that the rows of marks (one a document and bucket) do not grow with the buckets as well
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = _documents(documents.select("doc_id", "text"))
     keys = docs.select("id_", "row_", "text").mapInArrow(_keys(length, gram, buckets, held), "bucket int, payload binary")
     marks = scratch.save(keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_judge(most), "id_ long, row_ int, marks binary"), "marks")

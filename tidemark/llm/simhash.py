@@ -290,13 +290,176 @@ def hex_digits(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def one_of_each_group(documents: DataFrame, size: int = 3) -> DataFrame:
-    """The documents without those whose group holds a smaller doc_id.
+#: The rule of :func:`near_copies`: shared shingles of all, 4 of 5; minima of 32 bands of 4.
+SHARED, ALL, BANDS, ROWS = 4, 5, 32, 4
+_MINIMA = np.random.default_rng(SEED).integers(1, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+
+
+def shingles(text: bytes, size: int) -> set[bytes]:
+    """The distinct shingles of ``size`` words (fewer words: the whole sequence; no words: none)."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def band_keys(found: set[bytes]) -> np.ndarray:
+    """A key for each band of minima; sets of similarity j share a band with probability 1 - (1 - j ** 4) ** 32."""
+    flips, odd, mixes = _MINIMA[0][:, None], _MINIMA[1][:, None] | np.uint64(1), (_MINIMA[2] | np.uint64(1)).reshape(BANDS, ROWS)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096] ^ flips) * odd).min(axis=1))
+    least ^= least >> np.uint64(31)
+    key = (least.reshape(BANDS, ROWS) * mixes).sum(axis=1, dtype=np.uint64)
+    return key ^ (key >> np.uint64(29)) ^ np.arange(BANDS, dtype=np.uint64)
+
+
+def _name(text: bytes) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED))
+
+
+def _band_rows(documents: DataFrame, size: int) -> DataFrame:
+    """Per row: doc_id, ``fp`` (hash of all words), ``n`` (distinct shingles) and the ``keys`` of the bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024, "text", 4 << 20):
+            texts = utf8_list(batch.column("text"))
+            sets = [shingles(t, size) for t in texts]
+            keys = pa.array([band_keys(s).view(np.int64) if s else [] for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([_name(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "keys"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n int, keys array<long>")
+
+
+CANDIDATES = "hot boolean, key long, a long, b long, n int"
+
+
+def _pairs(most: int):
+    """Reads (key, fp, n) in sorted runs; yields all pairs of a run, or of a run too long each row (hot) beside the first."""
 
-    Of rows that share a doc_id one stays; rows with a null doc_id have no name to be dropped by and stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(hot, key, a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array([hot] * len(a)), pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["hot", "key", "a", "b", "n"])
+
+        found: list[tuple] = []
+
+        def settle(key, rows):
+            for i, (b, n) in enumerate(rows):
+                found.extend((key, a, b, n) for a, m in rows[:i] if ALL * min(n, m) >= SHARED * max(n, m))
+
+        held, held_key, lead = [], None, None
+        for batch in batches:
+            keys, fps, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "n"))
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+            busy = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys))).tolist() if len(keys) else []
+            for at in busy:
+                start, end = int(starts[at]), int(ends[at])
+                if keys[start] != held_key:
+                    settle(held_key, held)
+                    held, held_key, lead = [], int(keys[start]), None
+                held.extend(zip(fps[start:end].tolist(), sizes[start:end].tolist()))
+                if lead is not None or len(held) > most:  # pass a long run on without holding it
+                    lead = held[0][0] if lead is None else lead
+                    yield out(True, [held_key] * len(held), [lead] * len(held), [f for f, _ in held], [n for _, n in held])
+                    held = []
+            if len(found) > 1 << 14:
+                yield out(False, *zip(*found))
+                found.clear()
+        settle(held_key, held)
+        if found:
+            yield out(False, *zip(*found))
+
+    return run
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of names whose texts are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, 256, "one", 4 << 20), 256, "other", 4 << 20):
+            last, first, keep = None, set(), []
+            for one, other in zip(utf8_list(batch.column("one")), utf8_list(batch.column("other"))):
+                if one != last:
+                    last, first = one, shingles(one, size)
+                second = shingles(other, size)
+                both = len(first & second)
+                keep.append(ALL * both >= SHARED * (len(first) + len(second) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    one, other = texts.select(F.col("fp").alias("a"), F.col("text").alias("one")), texts.select(F.col("fp").alias("b"), F.col("text").alias("other"))
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
+def near_copies(documents: DataFrame, size: int = 5, most: int = 32) -> DataFrame:
+    """Per row: doc_id and ``component_id``, the smallest doc_id reachable by links of similar texts.
+
+    A link: four fifths of the distinct shingles of two texts are shared (Jaccard), or all words are equal.  Equal texts
+    are collapsed.  Pairs that share one of 32 bands of 4 minima are compared shingle by shingle; a pair at
+    the limit shares none with a probability of 5e-8.  Of a run longer than ``most`` all rows are first compared with one, then those
+    that this leaves outside its group with all rows of the run in other groups.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    groups = scratch.save(near_duplicates(documents, size), "groups")
+    prints = scratch.save(_band_rows(documents, size), "prints")
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("rep is not null")
+    named = scratch.save(named, "named")
+    rows = named.select("fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    found = scratch.save(rows.mapInArrow(_pairs(most), CANDIDATES), "found")
+    pairs = scratch.save(found.select("a", "b").where("a != b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = scratch.save(wanted.join(named.select("fp", "rep"), "fp"), "wanted")
+
+    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in utf8_list(batch.column("text"))], pa.int64()), batch.column("text").cast(pa.string())], names=["fp", "text"])
+
+    # by doc_id first, which reads no text of the rest; a doc_id may have other texts as well
+    texts = documents.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.mapInArrow(named_texts, "fp long, text string").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    texts = scratch.save(texts, "texts")
+    links = scratch.save(_similar(pairs, texts, size), "links")
+    groups = _components_of(links, named, scratch)
+    hot = found.where("hot").select("key", F.col("a").alias("lead"), F.col("b").alias("fp"), "n")
+    if not hot.isEmpty():
+        of = groups.select("fp", "component_id")
+        held = scratch.save(hot.join(of, "fp").join(of.select(F.col("fp").alias("lead"), F.col("component_id").alias("main")), "lead"), "held")
+        outside = held.where("component_id != main").select("key", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("component_id").alias("own"))
+        fits = f"own != component_id and {ALL} * least(n, m) >= {SHARED} * greatest(n, m)"
+        more = outside.join(held.select("key", F.col("fp").alias("b"), "n", "component_id"), "key").where(fits)
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = scratch.save(_similar(more, texts, size), "more")
+        if not more.isEmpty():
+            scratch.drop("groups")
+            groups = _components_of(links.union(more), named, scratch)
+    return prints.join(groups, "fp", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _components_of(links: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp and component_id of all that are named."""
+    by_rep = (
+        links.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
+        .join(named.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
+        .select("u", "v")
+    )
+    found = components(by_rep, scratch)
+    return scratch.save(named.join(found, named["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "groups")
+
+
+def one_of_each_group(documents: DataFrame, size: int = 3) -> DataFrame:
+    """The documents without those whose group of linked fingerprints holds a smaller doc_id."""
+    return _first_of_each(documents, near_duplicates(documents, size))
+
+
+def without_near_copies(documents: DataFrame, size: int = 5, most: int = 32) -> DataFrame:
+    """The documents without those whose group of near copies (see :func:`near_copies`) holds a smaller doc_id."""
+    return _first_of_each(documents, near_copies(documents, size, most))
+
+
+def _first_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of rows that share a doc_id one stays; rows with a null doc_id have no name to be dropped by and stay."""
+    scratch = Scratch(documents.sparkSession, "simhash")
+    groups = scratch.save(groups, "groups")
     later = groups.where("doc_id != component_id").select("doc_id").distinct()
     kept = documents.join(later, "doc_id", "left_anti").select(*documents.columns)
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")

@@ -63,11 +63,11 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, lengths: np.ndarray, length: int, gram: int, stretch: int = 1 << 24) -> dict[str, np.ndarray]:
     """Fragments of the texts that lie end to end in ``data``.
 
     For each, in order of place: ``text`` (its number), ``first`` and ``last`` start of its strings and ``anchor``
-    (places in ``data``), and ``key``, the hash of the anchor.
+    (places in ``data``), and ``key``, the hash of the anchor.  ``stretch``: places compared at a time, at most 2 ** 24.
     """
     ends = np.cumsum(lengths)
     empty = np.zeros(0, np.int64)
@@ -76,9 +76,15 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> di
     prefix = GRAM.prefix(data)
     places = np.arange(len(data) - gram + 1)
     hashes = GRAM.at(prefix, places, places + gram)
-    # least hash first, then the rightmost; 2 ** 24 places and 40 bits of hash in one word
-    packed = (hashes & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - places.astype(np.uint64))
-    chosen = (np.uint64(0xFFFFFF) - (_sliding_least(packed, length - gram + 1) & np.uint64(0xFFFFFF))).astype(np.int64)
+    width = length - gram + 1
+    chosen = np.empty(len(hashes) - width + 1, np.int64)
+    # places count from the start of a stretch, which overlaps the next by one window
+    for at in range(0, len(chosen), stretch - width + 1):
+        own = hashes[at : at + stretch]
+        # least hash first, then the rightmost; 2 ** 24 places and 40 bits of hash in one word
+        packed = (own & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - np.arange(len(own), dtype=np.uint64))
+        least = (np.uint64(0xFFFFFF) - (_sliding_least(packed, width) & np.uint64(0xFFFFFF))).astype(np.int64)
+        chosen[at : at + len(least)] = least + at
     text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - length + 1, 0))
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.cumsum(np.maximum(lengths - length + 1, 0))

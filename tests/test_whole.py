@@ -19,3 +19,17 @@ def test_highlight_whole_texts(spark):
     marked = {r["doc_id"]: r["marked"].replace("<b>", "").replace("</b>", "") for r in run(spark, "fts_highlight_whole").collect()}
     texts = {r["doc_id"]: r["text"] for r in table(spark, "documents").collect()}
     assert marked == {d: t.replace("<b>", "").replace("</b>", "") for d, t in texts.items()} and max(map(len, marked.values())) > 400
+
+
+def test_all_query_vectors(spark):
+    from tidemark.operators import vectors
+
+    rows = table(spark, "embeddings")
+    queries = rows.where("vec_id % 50 = 0")
+    found = run(spark, "vector_cosine_topk_each")
+    assert found.count() == 10 * queries.count() and queries.count() > 1
+    blocks = vectors.nearest_each(rows, "vec_id", "embedding", queries, 10, block=3).select("query", "vec_id", "rank")
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
+    first = vectors.nearest(rows, "vec_id", "embedding", rows.where("vec_id = 0").first()["embedding"], 10)
+    assert [r["vec_id"] for r in first.collect()] == [r["vec_id"] for r in found.where("query = 0").orderBy("rank").collect()]
+    assert {r["query"] for r in run(spark, "semantic_match_vectors_each").collect()} == {r["vec_id"] for r in queries.collect()}

@@ -68,6 +68,19 @@ def vector_cosine_topk(db):
     return vectors.nearest(table, "vec_id", "embedding", wanted, 10).select("vec_id")
 
 
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+@query(
+    f"""SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, a.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COSINE}, 9) DESC, a.vec_id) AS rank
+    FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10"""
+)
+def vector_cosine_topk_each(db):
+    """All query vectors against all rows; vector_cosine_topk takes one."""
+    rows = db.table("embeddings")
+    return vectors.nearest_each(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), 10).select("query", "vec_id", "rank")
+
+
 @query("SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding, b.embedding), 3) > 0.2 AS alike FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_pairs(db):
     a = db.table("embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("e"))
@@ -82,6 +95,13 @@ def semantic_match_vectors(db):
     return db.table("embeddings").where(semantic_match(F.col("embedding"), query_vector)).select("vec_id")
 
 
+@query(f"SELECT q.vec_id AS query, a.vec_id FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 AND {_COSINE} > 0.7")
+def semantic_match_vectors_each(db):
+    """All query vectors against all rows; semantic_match_vectors takes one."""
+    rows = db.table("embeddings")
+    return vectors.alike_each(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), 0.7).select("query", "vec_id")
+
+
 @query("SELECT item_id, 64 AS dimension, TRUE AS unit FROM benchmark")
 def embed_text(db):
     vector = vectors.embed(F.col("text"))

@@ -33,3 +33,7 @@ def test_all_query_vectors(spark):
     first = vectors.nearest(rows, "vec_id", "embedding", rows.where("vec_id = 0").first()["embedding"], 10)
     assert [r["vec_id"] for r in first.collect()] == [r["vec_id"] for r in found.where("query = 0").orderBy("rank").collect()]
     assert {r["query"] for r in run(spark, "semantic_match_vectors_each").collect()} == {r["vec_id"] for r in queries.collect()}
+
+
+def test_all_events_make_the_round_trip(spark):
+    assert run(spark, "copy_jsonl_roundtrip_whole").count() == table(spark, "events").count() > 500

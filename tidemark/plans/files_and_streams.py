@@ -36,6 +36,15 @@ def copy_jsonl_roundtrip(db):
     return files.copy_from_jsonl(db.spark, path, rows.schema)
 
 
+@query("SELECT event_id, nullif(event_type, 'click') AS event_type, value FROM events")
+def copy_jsonl_roundtrip_whole(db):
+    """All events; copy_jsonl_roundtrip takes the first 500."""
+    rows = db.table("events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"), "value")
+    path = Scratch(db.spark, "copy").path("events.jsonl")
+    files.copy_to_jsonl(rows, path)
+    return files.copy_from_jsonl(db.spark, path, rows.schema)
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
 def udf_sql(db):
     procedures.create_sql_function(db.spark, "net_price", "price DOUBLE, discount DOUBLE", "DOUBLE", "round(price * (1 - discount), 4)")

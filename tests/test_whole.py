@@ -37,3 +37,12 @@ def test_all_query_vectors(spark):
 
 def test_all_events_make_the_round_trip(spark):
     assert run(spark, "copy_jsonl_roundtrip_whole").count() == table(spark, "events").count() > 500
+
+
+def test_whole_altered_table_and_numbering(spark):
+    orders = table(spark, "orders")
+    assert run(spark, "alter_table_whole").count() == orders.count() > 100
+    new = sorted(tuple(r) for r in run(spark, "insert_auto_increment_whole").select("old", "o_orderkey").collect())
+    start = orders.agg({"o_orderkey": "max"}).first()[0]
+    assert len(new) == orders.where("o_orderstatus = 'F'").count() > 100
+    assert [n for _, n in new] == list(range(start + 1, start + 1 + len(new)))

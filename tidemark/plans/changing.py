@@ -25,6 +25,13 @@ def insert_auto_increment(db):
     return changes.numbered(_orders(db), rows, "o_orderkey", "old").select("o_orderkey")
 
 
+@query("SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(o_orderkey) FROM orders) AS o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def insert_auto_increment_whole(db):
+    """All rows of one status; insert_auto_increment numbers at most 100."""
+    rows = _orders(db).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("old"))
+    return changes.numbered(_orders(db), rows, "o_orderkey", "old").select("old", "o_orderkey")
+
+
 _INCOMING = "SELECT o_orderkey * 3 AS o_orderkey, 'X' AS o_orderstatus, 1.5 * o_orderkey AS o_totalprice FROM orders WHERE o_orderkey % 7 = 0"
 
 

@@ -46,3 +46,10 @@ def test_whole_altered_table_and_numbering(spark):
     start = orders.agg({"o_orderkey": "max"}).first()[0]
     assert len(new) == orders.where("o_orderstatus = 'F'").count() > 100
     assert [n for _, n in new] == list(range(start + 1, start + 1 + len(new)))
+
+
+def test_full_join_and_all_over_whole_tables(spark):
+    customers = {r["c_custkey"] for r in table(spark, "customer").collect()}
+    assert {r["c_custkey"] for r in run(spark, "join_full_whole").collect()} - {None} == customers
+    prices = {r["o_orderkey"]: r["o_totalprice"] for r in table(spark, "orders").collect()}
+    assert {r["o_orderkey"] for r in run(spark, "quantified_all_whole").collect()} == {k for k, p in prices.items() if p == max(prices.values())}

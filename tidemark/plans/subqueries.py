@@ -45,6 +45,13 @@ def quantified_all(db):
     return relational.all_of(orders, F.col("o_totalprice"), ">=", orders.where("o_custkey % 10 = 0").select("o_totalprice")).select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders)")
+def quantified_all_whole(db):
+    """Against all orders; quantified_all compares with those of every tenth customer."""
+    orders = db.table("orders")
+    return relational.all_of(orders, F.col("o_totalprice"), ">=", orders.select("o_totalprice")).select("o_orderkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_nationkey <> ALL (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def quantified_all_unequal(db):
     nations = db.table("supplier").where("s_acctbal > 9000").select("s_nationkey")

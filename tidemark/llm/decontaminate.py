@@ -9,8 +9,8 @@ Scale: the documents are scanned once, without a shuffle.  The patterns are the
 blocks of at most ``block_bytes`` of benchmark text, one broadcast block at a time, so that a benchmark of any size
 runs; each further block adds to the hits in the same row, in the same stage.
 
-Defined cases: null or wordless text has no words, no hits and is not contaminated; an item without words (or null)
-has no window; equal windows of several items count for each item; repeated rows are judged row by row; an empty
+Defined cases: null or wordless text has no words, no hits and is not contaminated; an item without words (or null text)
+has no window; the windows of an item without an id hit words but add no item; equal windows of several items count for each item; repeated rows are judged row by row; an empty
 benchmark leaves every document clean; other columns, whatever their names, are not read.
 """
 
@@ -65,7 +65,7 @@ class PatternSet:
                 head += step
                 continue
             items = self.buckets[key].get(tuple(words[head - length + 1 : head + 1]))
-            if items:
+            if items is not None:  # empty: of items without an id alone
                 yield head - length + 1, items
             head += 1
 
@@ -79,7 +79,7 @@ def compile_patterns(items: Iterable[tuple[str, bytes]], window: int) -> list[Pa
             size = min(window, len(words))
             for at in range(len(words) - size + 1):
                 owners = by_length.setdefault(size, {}).setdefault(words[at : at + size], [])
-                if not owners or owners[-1] != item:
+                if item is not None and (not owners or owners[-1] != item):
                     owners.append(item)
     return [PatternSet(size, found) for size, found in sorted(by_length.items())]
 
@@ -107,7 +107,7 @@ def merge_runs(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _pattern_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """Blocks of (item id, text), each at most ``block_bytes`` of text or a single item."""
     held, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null and item_id is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
         raw = text.encode()
         if held and size + len(raw) > block_bytes:
             yield held

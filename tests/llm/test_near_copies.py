@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import simhash
@@ -60,3 +61,29 @@ def test_stage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() > 3
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_rows_that_share_an_id(spark):
+    """Another text under the doc_id of a dropped copy stays; equal rows are one."""
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (7, None), (7, other + " tail"), (None, one)], "doc_id long, text string")
+    for kept in (simhash.one_of_each_group(docs), simhash.without_near_copies(docs)):
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect()), key=repr)[:2] == [(1, one), (5, other)]
+        assert kept.where("doc_id is null").count() == 1
+    assert sorted(simhash.without_near_copies(docs).select("doc_id", "text").where("doc_id = 7").collect()) == [(7, None)]
+
+
+def test_ring_keeps_all_within_the_budget():
+    """Chains prune nothing that the full check would keep, and the fingerprint of similar sets is near."""
+    deal = np.random.default_rng(3)
+    one = deal.integers(0, 1 << 63, (400, 8), dtype=np.uint64)
+    two = one.copy()
+    for row in two:
+        for bit in deal.choice(512, deal.integers(0, 260), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    differ = np.bitwise_count(one ^ two).sum(axis=1)
+    assert (simhash.ring_ok(one, two) == (differ <= simhash.BUDGET)).all() and 0 < (differ <= simhash.BUDGET).sum() < 400
+    for size in (20, 200, 2000):
+        hashes = deal.integers(0, 1 << 63, size * 10 // 8, dtype=np.uint64)
+        sides = [np.frombuffer(simhash.wide_fingerprint(h), "<u8").reshape(1, -1) for h in (hashes[:size], hashes)]  # similarity 0.8
+        assert simhash.ring_ok(*sides).all()

@@ -20,6 +20,8 @@ representatives, each written to the shared folder; nothing is collected.
 Defined cases: null, empty or wordless text has fingerprint zero and links like any other; repeated rows share a
 fingerprint; ties go to the smallest doc_id; rows with a null doc_id get a fingerprint but can't be the name of a
 component (their component_id is that of their fingerprint, null if no other row has one); other columns are not read.
+
+Another text under a doc_id that a dropped copy bears stays.  :func:`near_copies` links by similarity instead, and prunes by the same chains.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .common import slices, utf8_list
+from .common import shielded, slices, utf8_list
 
 SEED, BITS, SEGMENTS, WIDTH = 42, 64, 8, 8
 
@@ -61,14 +63,14 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, one row for each row."""
+    """doc_id, ``row_`` (hash of the text as it is) and the fingerprint as a signed long, one row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024, "text", 4 << 20):
             values = np.array([fingerprint(t, size) for t in utf8_list(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row_"), pa.array(values.view(np.int64))], names=["doc_id", "row_", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return _rows(documents).mapInArrow(run, "doc_id long, row_ long, fp long")
 
 
 def chain_masks() -> list[int]:
@@ -241,7 +243,7 @@ def links_between(distinct: DataFrame, scratch: Scratch, most: int = 256, depth:
 
 
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that is reachable, for every node that has a link.
+    """(node, component): the smallest node that is reachable, for every node that has a link.  Nodes are of any type with an order.
 
     Alternates large-star and small-star steps, each two shuffles of the remaining links.
     """
@@ -269,21 +271,15 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(documents: DataFrame, size: int = 3, most: int = 256) -> DataFrame:
-    """Per row: doc_id, ``fp`` (signed long) and ``component_id``, the smallest doc_id reachable by links."""
+def near_duplicates(documents: DataFrame, size: int = 3, most: int = 256, rows: bool = False) -> DataFrame:
+    """Per row: doc_id, ``fp`` (signed long) and ``component_id``, the smallest doc_id reachable by links; ``rows``: and group_ and row_ as of :func:`near_copies`."""
     scratch = Scratch(documents.sparkSession, "simhash")
     prints = scratch.save(fingerprints(documents, size), "prints")
     named = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "named")
-    links = links_between(named.select("fp"), scratch, most)
-    by_rep = (
-        links.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(named.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
-        .where("u is not null and v is not null")
-    )
-    groups = components(by_rep, scratch)
-    final = named.join(groups, named["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    links = links_between(named.where("rep is not null").select("fp"), scratch, most)
+    groups = _components_of(links, named, scratch, "groups")
+    more = [F.coalesce("group_", "fp").alias("group_"), "row_"] if rows else []
+    return prints.join(groups, "fp").select("doc_id", "fp", "component_id", *more)
 
 
 def hex_digits(column: str):
@@ -293,6 +289,9 @@ def hex_digits(column: str):
 #: The rule of :func:`near_copies`: shared shingles of all, 4 of 5; minima of 32 bands of 4.
 SHARED, ALL, BANDS, ROWS = 4, 5, 32, 4
 _MINIMA = np.random.default_rng(SEED).integers(1, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+#: The stage's fingerprint: a ring of segments of 64 bits, and the differences that a pair may have.  Sets of similarity 0.8 differ in 78 of
+#: 512 bits on average (standard deviation 8); 122 lie over five deviations off.  Sets of fewer than ``FEW`` shingles are not filtered.
+RING, BUDGET, FEW = 8, 122, 16
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -301,11 +300,14 @@ def shingles(text: bytes, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def band_keys(found: set[bytes]) -> np.ndarray:
+def _hashes(found: set[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band of minima; sets of similarity j share a band with probability 1 - (1 - j ** 4) ** 32."""
     flips, odd, mixes = _MINIMA[0][:, None], _MINIMA[1][:, None] | np.uint64(1), (_MINIMA[2] | np.uint64(1)).reshape(BANDS, ROWS)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 4096):
         least = np.minimum(least, ((hashes[at : at + 4096] ^ flips) * odd).min(axis=1))
@@ -314,155 +316,293 @@ def band_keys(found: set[bytes]) -> np.ndarray:
     return key ^ (key >> np.uint64(29)) ^ np.arange(BANDS, dtype=np.uint64)
 
 
-def _name(text: bytes) -> int:
-    return _signed(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED))
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The 512 bits of a set of shingles, by the rule of :func:`fingerprint`: the segments of the ring one after the other."""
+    votes = np.zeros(64 * RING, np.int64)
+    seeds = np.arange(1, RING + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # 255 votes fit a byte
+        mixed = (hashes[at : at + 255, None] ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        votes += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
-def _band_rows(documents: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, ``fp`` (hash of all words), ``n`` (distinct shingles) and the ``keys`` of the bands."""
+def _wide(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of words, a segment each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, RING)
+
+
+def ring_ok(one: np.ndarray, two: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """Whether fingerprints (rows of words) differ by no more than the budget.
+
+    From some start on the ring of segments, each chain of l segments must differ in at most ``budget`` * l / ``RING`` bits; the
+    full Hamming check is made of those that have such a start.
+    """
+    parts = _popcount(one ^ two).astype(np.int64)
+    fine = np.zeros(len(parts), bool)
+    for start in range(RING):
+        chains = np.cumsum(np.roll(parts, -start, axis=1), axis=1)
+        fine |= (chains * RING <= budget * np.arange(1, RING + 1)).all(axis=1)
+    fine[fine] = parts[fine].sum(axis=1) <= budget
+    return fine
+
+
+def _name(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()), SEED)
+
+
+def _sketches(documents: DataFrame, size: int) -> DataFrame:
+    """Per row: doc_id, ``row_`` (hash of the text as it is), ``fp`` (hash of all words), ``n`` (distinct shingles), the wide fingerprint and band ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024, "text", 4 << 20):
             texts = utf8_list(batch.column("text"))
-            sets = [shingles(t, size) for t in texts]
-            keys = pa.array([band_keys(s).view(np.int64) if s else [] for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([_name(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "keys"])
+            hashes = [_hashes(shingles(t, size)) for t in texts]
+            keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("row_"), pa.array([_name(t) for t in texts], pa.binary()), pa.array([len(h) for h in hashes], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(wide_fingerprint, hashes), pa.binary()), keys], names=["doc_id", "row_", "fp", "n", "wide", "keys"])
+
+    return _rows(documents).mapInArrow(run, "doc_id long, row_ long, fp binary, n int, wide binary, keys array<long>")
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n int, keys array<long>")
 
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.xxhash64("text").alias("row_"), "text")
 
-CANDIDATES = "hot boolean, key long, a long, b long, n int"
 
+CANDIDATES = "key long, many long, a binary, b binary"
 
-def _pairs(most: int):
-    """Reads (key, fp, n) in sorted runs; yields all pairs of a run, or of a run too long each row (hot) beside the first."""
+
+def _close(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of rows (key, many, a, b) those whose sizes and fingerprints allow a similarity of 0.8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(hot, key, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array([hot] * len(a)), pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["hot", "key", "a", "b", "n"])
+        for batch in batches:
+            few = np.minimum(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))) < FEW
+            keep = few | ring_ok(_wide(batch.column("wide")), _wide(batch.column("wide2")))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "many", "a", "b")], names=["key", "many", "a", "b"]).filter(pa.array(keep))
 
-        found: list[tuple] = []
+    one = marks.select(F.col("fp").alias("a"), "n", "wide")
+    two = marks.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("wide").alias("wide2"))
+    both = pairs.join(one, "a").join(two, "b").where(f"{ALL} * least(n, m) >= {SHARED} * greatest(n, m)")
+    return both.select("key", "many", "a", "b", "n", "m", "wide", "wide2").mapInArrow(run, CANDIDATES)
 
-        def settle(key, rows):
-            for i, (b, n) in enumerate(rows):
-                found.extend((key, a, b, n) for a, m in rows[:i] if ALL * min(n, m) >= SHARED * max(n, m))
 
-        held, held_key, lead = [], None, None
-        for batch in batches:
-            keys, fps, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "n"))
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            busy = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys))).tolist() if len(keys) else []
-            for at in busy:
-                start, end = int(starts[at]), int(ends[at])
-                if keys[start] != held_key:
-                    settle(held_key, held)
-                    held, held_key, lead = [], int(keys[start]), None
-                held.extend(zip(fps[start:end].tolist(), sizes[start:end].tolist()))
-                if lead is not None or len(held) > most:  # pass a long run on without holding it
-                    lead = held[0][0] if lead is None else lead
-                    yield out(True, [held_key] * len(held), [lead] * len(held), [f for f, _ in held], [n for _, n in held])
-                    held = []
-            if len(found) > 1 << 14:
-                yield out(False, *zip(*found))
-                found.clear()
-        settle(held_key, held)
-        if found:
-            yield out(False, *zip(*found))
+def _outside(rows: DataFrame, named: DataFrame, part: int = 2048) -> DataFrame:
+    """Candidates (key, many, a, b) between the rows outside the largest group of their run and all rows of the run in other groups.
 
-    return run
+    Both sides of a run are dealt into parts of about ``part`` rows, so that a task holds two parts at a time.  A pair comes from the
+    first band that it shares only.
+    """
+    largest = rows.groupBy("key", "group_").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("group_", F.struct("size", "group_")).alias("main"), F.count("*").alias("groups"))
+    parts = F.ceil(F.col("many") / part).cast("int")
+    marked = rows.join(largest.where("groups > 1"), "key").withColumn("out", F.col("group_") != F.col("main")).join(named.select("fp", "n", "wide", "keys"), "fp")
+    every = F.sequence(F.lit(0), parts - 1)
+    own = F.pmod(F.hash("fp"), parts)
+    columns = ("key", "many", "band", "fp", "group_", "out", "n", "wide", "keys")
+    query = marked.where("out").select(*columns, F.lit(0).alias("side"), own.alias("i"), F.explode(every).alias("j"))
+    other = marked.select(*columns, F.lit(1).alias("side"), own.alias("j"), F.explode(every).alias("i"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        block_of = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                (fps, groups, _, sizes, wide, keys), (fps2, groups2, out2, sizes2, wide2, keys2) = ([np.concatenate(c) for c in zip(*side)] for side in held)
+                key, _, _, many, band = block_of
+                for at in range(len(fps)):
+                    near = (groups2 != groups[at]) & (ALL * np.minimum(sizes2, sizes[at]) >= SHARED * np.maximum(sizes2, sizes[at]))
+                    near &= ~out2 | (fps2 > fps[at])  # of two such rows one asks
+                    near = np.flatnonzero(near)
+                    near = near[~(keys2[near, :band] == keys[at, :band]).any(axis=1)]
+                    if len(near):
+                        near = near[(np.minimum(sizes2[near], sizes[at]) < FEW) | ring_ok(wide2[near], wide[at])]
+                    if len(near):
+                        pairs = [sorted((fps[at], x)) for x in fps2[near].tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key] * len(pairs), pa.int64()), pa.array([many] * len(pairs), pa.int64()), pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())],
+                            names=["key", "many", "a", "b"],
+                        )
+            held[0].clear()
+            held[1].clear()
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of names whose texts are similar enough."""
+        for batch in batches:
+            value = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            heads = [value(c) for c in ("key", "i", "j", "many", "band")]
+            side, groups, out, sizes, wide = value("side"), np.array(batch.column("group_").to_pylist(), object), value("out"), value("n"), _wide(batch.column("wide"))
+            fps = np.array(batch.column("fp").to_pylist(), object)
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*heads[:3], side)], axis=0)) + 1 if len(side) else []
+            for start, end in zip([0, *cuts], [*cuts, len(side)]):
+                if start == end:
+                    continue
+                here = tuple(int(c[start]) for c in heads)
+                if here != block_of:
+                    yield from settle()
+                    block_of = here
+                held[int(side[start])].append([x[start:end] for x in (fps, groups, out, sizes, wide, keys)])
+        yield from settle()
+
+    return query.unionByName(other).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, CANDIDATES)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    """The pairs (a, b), of rows (key, many, a, b), whose sets ``hashes`` of shingles are similar enough.
+
+    A set goes once to each block of its run that compares it: both sides of a run of ``many`` are dealt into parts of about
+    ``block``, so a task holds two parts at a time.
+    """
+    parts = F.ceil(F.col("many") / block)
+    dealt = pairs.select("key", F.pmod(F.hash("a"), parts).alias("i"), F.pmod(F.hash("b"), parts).alias("j"), "a", "b")
+    wanted = dealt.select("key", "i", "j", F.col("a").alias("fp")).union(dealt.select("key", "i", "j", F.col("b").alias("fp"))).distinct()
+    rows = wanted.join(sets, "fp").select("key", "i", "j", F.lit(0).alias("kind"), F.col("fp").alias("a"), F.lit(None).cast("binary").alias("b"), "hashes")
+    rows = rows.unionByName(dealt.select("key", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, 256, "one", 4 << 20), 256, "other", 4 << 20):
-            last, first, keep = None, set(), []
-            for one, other in zip(utf8_list(batch.column("one")), utf8_list(batch.column("other"))):
-                if one != last:
-                    last, first = one, shingles(one, size)
-                second = shingles(other, size)
-                both = len(first & second)
-                keep.append(ALL * both >= SHARED * (len(first) + len(second) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    one, other = texts.select(F.col("fp").alias("a"), F.col("text").alias("one")), texts.select(F.col("fp").alias("b"), F.col("text").alias("other"))
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
-
-
-def near_copies(documents: DataFrame, size: int = 5, most: int = 32) -> DataFrame:
-    """Per row: doc_id and ``component_id``, the smallest doc_id reachable by links of similar texts.
-
-    A link: four fifths of the distinct shingles of two texts are shared (Jaccard), or all words are equal.  Equal texts
-    are collapsed.  Pairs that share one of 32 bands of 4 minima are compared shingle by shingle; a pair at
-    the limit shares none with a probability of 5e-8.  Of a run longer than ``most`` all rows are first compared with one, then those
-    that this leaves outside its group with all rows of the run in other groups.
+        own: dict[bytes, np.ndarray] = {}
+        block_of, open_pairs, good = None, [], []
+
+        def settle() -> None:
+            if not open_pairs:
+                own.clear()
+                return
+            at = {name: i for i, name in enumerate(own)}
+            sizes = np.array([len(x) for x in own.values()])
+            ids = np.unique(np.concatenate(list(own.values())), return_inverse=True)[1]  # shingles by number
+            starts = np.cumsum(sizes) - sizes
+            first, second = (np.array([at[x] for x in side]) for side in zip(*open_pairs))
+            marked = np.zeros(len(ids) + 1, bool)
+            order = np.argsort(first, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(first[order]) > 0))
+            for mine in np.split(order, cuts[1:]):
+                i = first[mine[0]]
+                inside = ids[starts[i] : starts[i] + sizes[i]]
+                marked[inside] = True
+                totals = np.append(0, np.cumsum(marked[ids]))
+                marked[inside] = False
+                j = second[mine]
+                both = totals[starts[j] + sizes[j]] - totals[starts[j]]
+                fine = ALL * both >= SHARED * (sizes[i] + sizes[j] - both)
+                good.extend(open_pairs[k] for k in mine[fine].tolist())
+            own.clear()
+            open_pairs.clear()
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.binary()), pa.array([y for _, y in good], pa.binary())], names=["a", "b"])
+            good.clear()
+            return found
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "kind", "a", "b", "hashes")]
+            for key, i, j, kind, one, two, raw in zip(*columns):
+                if (key, i, j) != block_of:
+                    settle()
+                    block_of = (key, i, j)
+                if kind:
+                    open_pairs.append((one, two))
+                else:
+                    own[one] = np.frombuffer(raw, "<u8")
+            if good:
+                yield out()
+        settle()
+        if good:
+            yield out()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind").mapInArrow(run, "a binary, b binary")
+
+
+def near_copies(documents: DataFrame, size: int = 5, most: int = 4) -> DataFrame:
+    """Per row: doc_id, ``row_`` (hash of its text), ``group_`` (any name of its group) and ``component_id``, the smallest doc_id there.
+
+    Groups are what links of similar texts connect; texts are told apart by themselves, whatever doc_ids they bear.
+
+    A link: four fifths of the distinct shingles of two texts are shared (Jaccard), or all words are equal.  Equal texts are collapsed.
+    Texts that share one of 32 bands of 4 minima form a run (a pair at the limit shares none with a probability of 5e-8).  Within a
+    run pigeonring chains over a 512-bit fingerprint prune, the Hamming check follows, and what is left is compared shingle by shingle.
+
+    A run of more than ``most`` rows is first compared with one of its rows, another one in each band, and the links make
+    groups.  Then the rows that this leaves outside the largest group of their run are compared with all rows of the run in
+    other groups, block by block.  So no link is lost, and no run makes the pairs within its groups.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    prints = scratch.save(_band_rows(documents, size), "prints")
-    named = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("rep is not null")
+    prints = scratch.save(_sketches(documents, size), "prints")
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "wide", "keys")]).where("rep is not null")
     named = scratch.save(named, "named")
-    rows = named.select("fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "fp")
-    found = scratch.save(rows.mapInArrow(_pairs(most), CANDIDATES), "found")
-    pairs = scratch.save(found.select("a", "b").where("a != b").distinct(), "pairs")
+    dealt = named.select("fp", F.posexplode("keys").alias("band", "key"))
+    lead = F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp"))["fp"]
+    runs = dealt.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("many")).where("many > 1")
+    held = scratch.save(dealt.join(runs, "key"), "held")
+    short = held.where(F.col("many") <= most)
+    pairs = short.select("key", "many", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b").select("key", "many", "a", "b")
+    stars = held.where((F.col("many") > most) & (F.col("fp") != F.col("lead"))).select("key", "many", F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
+    pairs = pairs.union(stars).dropDuplicates(["a", "b"])  # each pair in one of its runs
+    pairs = scratch.save(_close(pairs, named.select("fp", "n", "wide")), "pairs")
+    links = scratch.save(_similar(pairs, _sets_of(pairs, documents, named, size, scratch, "sets")), "links")
+    groups = _components_of(links, named, scratch, "groups")
+    rows = held.where(F.col("many") > most).join(groups, "fp").select("key", "many", "band", "fp", "group_")
+    more = scratch.save(_outside(rows, named), "more")
+    if not more.isEmpty():
+        found = scratch.save(_similar(more, _sets_of(more, documents, named, size, scratch, "sets2")), "found")
+        if not found.isEmpty():
+            groups = _components_of(links.union(found), named, scratch, "groups2")
+    for name in ("sets", "sets2", "held", "more"):
+        scratch.drop(name)
+    return prints.join(groups, "fp", "left").select("doc_id", "row_", F.coalesce("group_", "fp").alias("group_"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _sets_of(pairs: DataFrame, documents: DataFrame, named: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """fp and the ``hashes`` of the shingles (8 bytes each) of all that the pairs name."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = scratch.save(wanted.join(named.select("fp", "rep"), "fp"), "wanted")
+    wanted = scratch.save(wanted.join(named.select("fp", "rep"), "fp"), f"{name}-wanted")
 
-    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in utf8_list(batch.column("text"))], pa.int64()), batch.column("text").cast(pa.string())], names=["fp", "text"])
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024, "text", 4 << 20):
+            texts = utf8_list(batch.column("text"))
+            sets = [_hashes(shingles(t, size)).astype("<u8").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts], pa.binary()), pa.array(sets, pa.binary())], names=["fp", "hashes"])
 
     # by doc_id first, which reads no text of the rest; a doc_id may have other texts as well
-    texts = documents.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = texts.mapInArrow(named_texts, "fp long, text string").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    texts = scratch.save(texts, "texts")
-    links = scratch.save(_similar(pairs, texts, size), "links")
-    groups = _components_of(links, named, scratch)
-    hot = found.where("hot").select("key", F.col("a").alias("lead"), F.col("b").alias("fp"), "n")
-    if not hot.isEmpty():
-        of = groups.select("fp", "component_id")
-        held = scratch.save(hot.join(of, "fp").join(of.select(F.col("fp").alias("lead"), F.col("component_id").alias("main")), "lead"), "held")
-        outside = held.where("component_id != main").select("key", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("component_id").alias("own"))
-        fits = f"own != component_id and {ALL} * least(n, m) >= {SHARED} * greatest(n, m)"
-        more = outside.join(held.select("key", F.col("fp").alias("b"), "n", "component_id"), "key").where(fits)
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = scratch.save(_similar(more, texts, size), "more")
-        if not more.isEmpty():
-            scratch.drop("groups")
-            groups = _components_of(links.union(more), named, scratch)
-    return prints.join(groups, "fp", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _components_of(links: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
-    """fp and component_id of all that are named."""
-    by_rep = (
-        links.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(named.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
-    )
-    found = components(by_rep, scratch)
-    return scratch.save(named.join(found, named["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "groups")
+    texts = documents.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    return scratch.save(texts.mapInArrow(hashed, "fp binary, hashes binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), name)
+
+
+def _components_of(links: DataFrame, named: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """fp, ``group_`` (the least name that links (a, b) reach) and ``component_id`` (the smallest ``rep`` there) of all that are named."""
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch(links.sparkSession, "simhash"))
+    grouped = named.select("fp", "rep").join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("group_", F.coalesce("component", "fp"))
+    least = grouped.where("component is not null or rep is not null").groupBy("group_").agg(F.min("rep").alias("component_id"))
+    return scratch.save(grouped.join(least, "group_", "left").select("fp", "group_", "component_id"), name)
 
 
 def one_of_each_group(documents: DataFrame, size: int = 3) -> DataFrame:
-    """The documents without those whose group of linked fingerprints holds a smaller doc_id."""
-    return _first_of_each(documents, near_duplicates(documents, size))
+    """One document, with the smallest doc_id, of each group of linked fingerprints (see :func:`_first_of_each`)."""
+    return shielded(documents, ("row_",), lambda plain: _first_of_each(plain, near_duplicates(plain, size, rows=True)))
 
 
-def without_near_copies(documents: DataFrame, size: int = 5, most: int = 32) -> DataFrame:
-    """The documents without those whose group of near copies (see :func:`near_copies`) holds a smaller doc_id."""
-    return _first_of_each(documents, near_copies(documents, size, most))
+def without_near_copies(documents: DataFrame, size: int = 5, most: int = 4) -> DataFrame:
+    """One document, with the smallest doc_id, of each group of near copies (see :func:`near_copies`)."""
+    return shielded(documents, ("row_",), lambda plain: _first_of_each(plain, near_copies(plain, size, most)))
 
 
 def _first_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of rows that share a doc_id one stays; rows with a null doc_id have no name to be dropped by and stay."""
+    """Of a group the row with the smallest doc_id, and of several of that the one with the least hash of its text, stays.
+
+    A row is known by its doc_id and text, so an unrelated text under the doc_id of a dropped copy stays; equal rows are one.  Rows
+    with a null doc_id have no name to be dropped by and stay.
+    """
     scratch = Scratch(documents.sparkSession, "simhash")
-    groups = scratch.save(groups, "groups")
-    later = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = documents.join(later, "doc_id", "left_anti").select(*documents.columns)
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    counted = groups.where("doc_id is not null").groupBy("group_", "doc_id", "row_").agg(F.count("*").alias("n"))
+    counted = scratch.save(counted, "rows")
+    first = counted.groupBy("group_").agg(F.min(F.struct("doc_id", "row_")).alias("first"))
+    later = counted.join(first, "group_").where("struct(doc_id, row_) != first").select("doc_id", "row_").distinct()
+    named = documents.withColumn("row_", F.xxhash64("text"))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    kept = named.join(later, ["doc_id", "row_"], "left_anti")
+    twice = counted.where("n > 1").select("doc_id", "row_").distinct()
     if twice.isEmpty():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        return kept.select(*names)
+    # a table per kind of row: only repeated rows are dealt anew
+    once = kept.join(twice, ["doc_id", "row_"], "left_anti")
+    return once.unionByName(kept.join(twice, ["doc_id", "row_"], "left_semi").dropDuplicates(["doc_id", "row_"])).select(*names)

@@ -389,63 +389,91 @@ def _close(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.select("key", "many", "a", "b", "n", "m", "wide", "wide2").mapInArrow(run, CANDIDATES)
 
 
-def _outside(rows: DataFrame, named: DataFrame, part: int = 2048) -> DataFrame:
-    """Candidates (key, many, a, b) between the rows outside the largest group of their run and all rows of the run in other groups.
+def _mixed_runs(rows: DataFrame) -> DataFrame:
+    """The rows (key, band, fp, group_) of runs that hold several groups, with the shingles of the run and ``out``, whether a row lies outside the largest group."""
+    largest = rows.groupBy("key", "group_").agg(F.count("*").alias("size"), F.sum("n").alias("total")).groupBy("key")
+    largest = largest.agg(F.max_by("group_", F.struct("size", "group_")).alias("main"), F.sum("total").alias("total"), F.count("*").alias("groups")).where("groups > 1")
+    return rows.join(largest, "key").select("key", "band", "fp", "group_", "total", (F.col("group_") != F.col("main")).alias("out"))
 
-    Both sides of a run are dealt into parts of about ``part`` rows, so that a task holds two parts at a time.  A pair comes from the
-    first band that it shares only.
+
+def _outside(rows: DataFrame, named: DataFrame, sets: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
+    """Links (a, b) that connect the rows outside the largest group of their run with all rows of the run in other groups.
+
+    Chains and the Hamming check prune, then shingles are compared.  Both sides of a run are dealt into parts of about ``held_bytes``
+    of shingle hashes, and a task holds two parts at a time.  A pair is tried in the first band that it shares only, and only the
+    links of a spanning forest of the groups leave a task.
     """
-    largest = rows.groupBy("key", "group_").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("group_", F.struct("size", "group_")).alias("main"), F.count("*").alias("groups"))
-    parts = F.ceil(F.col("many") / part).cast("int")
-    marked = rows.join(largest.where("groups > 1"), "key").withColumn("out", F.col("group_") != F.col("main")).join(named.select("fp", "n", "wide", "keys"), "fp")
+    parts = F.ceil(8 * F.col("total") / held_bytes).cast("int")
+    marked = rows.join(named.select("fp", "n", "wide", "keys"), "fp").join(sets, "fp")
     every = F.sequence(F.lit(0), parts - 1)
     own = F.pmod(F.hash("fp"), parts)
-    columns = ("key", "many", "band", "fp", "group_", "out", "n", "wide", "keys")
+    columns = ("key", "band", "fp", "group_", "out", "n", "wide", "keys", "hashes")
     query = marked.where("out").select(*columns, F.lit(0).alias("side"), own.alias("i"), F.explode(every).alias("j"))
     other = marked.select(*columns, F.lit(1).alias("side"), own.alias("j"), F.explode(every).alias("i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
-        block_of = None
+        block_of, found = None, []
 
-        def settle() -> Iterator[pa.RecordBatch]:
+        def settle() -> None:
             if held[0] and held[1]:
-                (fps, groups, _, sizes, wide, keys), (fps2, groups2, out2, sizes2, wide2, keys2) = ([np.concatenate(c) for c in zip(*side)] for side in held)
-                key, _, _, many, band = block_of
+                one, two = ([np.concatenate(c) for c in zip(*side)] for side in held)
+                (fps, groups, _, sizes, wide, keys, sets1), (fps2, groups2, out2, sizes2, wide2, keys2, sets2) = one, two
+                numbers = {g: i for i, g in enumerate({*groups, *groups2})}
+                groups, groups2 = (np.array([numbers[g] for g in x]) for x in (groups, groups2))
+                flat = [np.frombuffer(x, "<u8") for x in (*sets1, *sets2)]
+                ids = np.unique(np.concatenate(flat), return_inverse=True)[1]  # shingles by number
+                cuts = np.cumsum([0, *map(len, flat)])
+                starts, starts2, seen = cuts[: len(fps)], cuts[len(fps) :], np.zeros(len(ids) + 1, bool)
                 for at in range(len(fps)):
                     near = (groups2 != groups[at]) & (ALL * np.minimum(sizes2, sizes[at]) >= SHARED * np.maximum(sizes2, sizes[at]))
                     near &= ~out2 | (fps2 > fps[at])  # of two such rows one asks
                     near = np.flatnonzero(near)
-                    near = near[~(keys2[near, :band] == keys[at, :band]).any(axis=1)]
-                    if len(near):
-                        near = near[(np.minimum(sizes2[near], sizes[at]) < FEW) | ring_ok(wide2[near], wide[at])]
-                    if len(near):
-                        pairs = [sorted((fps[at], x)) for x in fps2[near].tolist()]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([key] * len(pairs), pa.int64()), pa.array([many] * len(pairs), pa.int64()), pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())],
-                            names=["key", "many", "a", "b"],
-                        )
+                    near = near[~(keys2[near, : block_of[3]] == keys[at, : block_of[3]]).any(axis=1)]
+                    near = near[(np.minimum(sizes2[near], sizes[at]) < FEW) | ring_ok(wide2[near], wide[at])]
+                    if not len(near):
+                        continue
+                    inside = ids[starts[at] : starts[at] + sizes[at]]
+                    seen[inside] = True
+                    totals = np.append(0, np.cumsum(seen[ids[starts2[0] :]]))
+                    seen[inside] = False
+                    both = totals[starts2[near + 1] - starts2[0]] - totals[starts2[near] - starts2[0]]
+                    for k in near[ALL * both >= SHARED * (sizes[at] + sizes2[near] - both)].tolist():
+                        if groups2[k] != groups[at]:
+                            found.append((fps[at], fps2[k]))
+                            gone = groups2[k]
+                            groups[groups == gone] = groups2[groups2 == gone] = groups[at]
             held[0].clear()
             held[1].clear()
 
         for batch in batches:
             value = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            heads = [value(c) for c in ("key", "i", "j", "many", "band")]
-            side, groups, out, sizes, wide = value("side"), np.array(batch.column("group_").to_pylist(), object), value("out"), value("n"), _wide(batch.column("wide"))
-            fps = np.array(batch.column("fp").to_pylist(), object)
-            keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*heads[:3], side)], axis=0)) + 1 if len(side) else []
+            raw = lambda c: np.array([*batch.column(c).to_pylist(), None], object)[:-1]  # noqa: E731, B023
+            heads = [value(c) for c in ("key", "i", "j", "band")]
+            side, columns = value("side"), [raw("fp"), raw("group_"), value("out"), value("n"), _wide(batch.column("wide")), batch.column("keys").flatten().to_numpy().reshape(-1, BANDS), raw("hashes")]
+            cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*heads[:3], side)], axis=0)) + 1).tolist() if len(side) else []
             for start, end in zip([0, *cuts], [*cuts, len(side)]):
                 if start == end:
                     continue
                 here = tuple(int(c[start]) for c in heads)
                 if here != block_of:
-                    yield from settle()
+                    settle()
                     block_of = here
-                held[int(side[start])].append([x[start:end] for x in (fps, groups, out, sizes, wide, keys)])
-        yield from settle()
+                held[int(side[start])].append([x[start:end] for x in columns])
+            if found:
+                yield _pair_rows(found)
+        settle()
+        if found:
+            yield _pair_rows(found)
+
+    return query.unionByName(other).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a binary, b binary")
 
-    return query.unionByName(other).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, CANDIDATES)
+
+def _pair_rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """The pairs as a batch; empties the list."""
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+    found.clear()
+    return batch
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
@@ -489,11 +517,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
             own.clear()
             open_pairs.clear()
 
-        def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.binary()), pa.array([y for _, y in good], pa.binary())], names=["a", "b"])
-            good.clear()
-            return found
-
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "kind", "a", "b", "hashes")]
             for key, i, j, kind, one, two, raw in zip(*columns):
@@ -505,10 +528,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
                 else:
                     own[one] = np.frombuffer(raw, "<u8")
             if good:
-                yield out()
+                yield _pair_rows(good)
         settle()
         if good:
-            yield out()
+            yield _pair_rows(good)
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind").mapInArrow(run, "a binary, b binary")
 
@@ -539,22 +562,22 @@ def near_copies(documents: DataFrame, size: int = 5, most: int = 4) -> DataFrame
     stars = held.where((F.col("many") > most) & (F.col("fp") != F.col("lead"))).select("key", "many", F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
     pairs = pairs.union(stars).dropDuplicates(["a", "b"])  # each pair in one of its runs
     pairs = scratch.save(_close(pairs, named.select("fp", "n", "wide")), "pairs")
-    links = scratch.save(_similar(pairs, _sets_of(pairs, documents, named, size, scratch, "sets")), "links")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
+    links = scratch.save(_similar(pairs, _sets_of(wanted, documents, named, size, scratch, "sets")), "links")
     groups = _components_of(links, named, scratch, "groups")
-    rows = held.where(F.col("many") > most).join(groups, "fp").select("key", "many", "band", "fp", "group_")
-    more = scratch.save(_outside(rows, named), "more")
+    rows = held.where(F.col("many") > most).join(groups, "fp").join(named.select("fp", "n"), "fp").select("key", "band", "fp", "group_", "n")
+    rows = scratch.save(_mixed_runs(rows), "rows")
+    more = scratch.save(_outside(rows, named, _sets_of(rows, documents, named, size, scratch, "sets2")), "more")
     if not more.isEmpty():
-        found = scratch.save(_similar(more, _sets_of(more, documents, named, size, scratch, "sets2")), "found")
-        if not found.isEmpty():
-            groups = _components_of(links.union(found), named, scratch, "groups2")
-    for name in ("sets", "sets2", "held", "more"):
+        groups = _components_of(links.union(more), named, scratch, "groups2")
+    for name in ("sets", "sets2", "held", "rows"):
         scratch.drop(name)
     return prints.join(groups, "fp", "left").select("doc_id", "row_", F.coalesce("group_", "fp").alias("group_"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_of(pairs: DataFrame, documents: DataFrame, named: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """fp and the ``hashes`` of the shingles (8 bytes each) of all that the pairs name."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+def _sets_of(wanted: DataFrame, documents: DataFrame, named: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """fp and the ``hashes`` of the shingles (8 bytes each) of all ``fp`` that are wanted."""
+    wanted = wanted.select("fp").distinct()
     wanted = scratch.save(wanted.join(named.select("fp", "rep"), "fp"), f"{name}-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,13 +74,13 @@ class Permutation:
         return self._walk(slot, range(ROUNDS - 1, -1, -1))
 
 
-def sequences(documents: DataFrame, length: int, paths: tuple[str, str | None], end_id: int, pad_id: int) -> DataFrame:
+def sequences(documents: DataFrame, length: int, paths: tuple[str, str | None], end_id: int, pad_id: int, special: bool = False) -> DataFrame:
     """Rows of SEQUENCES; the payload is the ids in two bytes each, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, number = encoder(paths), TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(paths, special), TaskContext.get().partitionId(), 0
         shrink = zstandard.ZstdCompressor(level=1).compress
         ids, owners = np.zeros(0, "<u2"), []  # the stream that is not cut yet; (doc_id, its end in the stream)
 

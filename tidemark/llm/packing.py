@@ -3,7 +3,8 @@
 A document is its ids and an end id.  Documents longer than the capacity are cut into pieces of full capacity, the
 first of which may be shorter.  Minimum bin slack fills one sequence at a time: it takes the longest piece left and
 finds, by subset-sum dynamic programming on a bitset over the lengths left, the combination that fills the rest
-most fully; that combination is then removed.
+most fully; that combination is then removed.  A search may end within a slack of the room (see ``fullest``), so the combination
+taken need not be the fullest; among several slacks, none included, the plan with the fewest sequences is taken.
 
 Scale: only the number of pieces of each length matters to the plan, at most ``capacity`` counters whatever the
 corpus, so the plan is made from that histogram alone.  A combination is repeated as often as the counts allow, which
@@ -14,7 +15,8 @@ whose running totals are the start of each block, so no length is gathered in on
 kept for the second step is one small row a piece.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed each; an empty table packs to none; the
-order of equal lengths follows the blocks of the input and has no effect on how full sequences are.
+order of equal lengths follows the blocks of the input and has no effect on how full sequences are; a null doc_id stays null
+in its pieces; a very long text is cut into as many pieces as it takes; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,13 +43,13 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
 
 
-def pieces(documents: DataFrame, capacity: int, paths: tuple[str, str | None], end_id: int = 2) -> DataFrame:
+def pieces(documents: DataFrame, capacity: int, paths: tuple[str, str | None], end_id: int = 2, special: bool = False) -> DataFrame:
     """One row a piece; ``block`` is the task that made it, ``own`` its rank there among the pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(paths), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, seen = encoder(paths, special), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in slices(batches, 4096, "text", 4 << 20):
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "own")}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -150,11 +152,14 @@ class Places:
         return sequence, offset
 
 
-def pack(documents: DataFrame, capacity: int = 1024, paths: tuple[str, str | None] | None = None, end_id: int = 2) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+def pack(documents: DataFrame, capacity: int = 1024, paths: tuple[str, str | None] | None = None, end_id: int = 2, special: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
+
+    ``special``: strings of special tokens in a text are those tokens, else ordinary text.
+    """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
-    made = scratch.save(pieces(documents, capacity, paths or vocabulary_paths(), end_id), "pieces")
+    made = scratch.save(pieces(documents, capacity, paths or vocabulary_paths(), end_id, special), "pieces")
     counts = scratch.save(made.groupBy("length", "block").agg(F.count("*").alias("n")), "counts")
     # at most `capacity` rows, whatever the input
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -6,7 +6,7 @@ revisit records that refer to it and hold the HTTP head alone.  A block longer t
 part stays in the response (segment number 1), the rest goes into continuation records that name it as their origin; the
 last gives the total length.  Archives of about ``archive`` bytes are text files written by Spark, one row a file.
 
-Reading: archives are parsed record by record.  Whole records are judged at once; segments are dealt by their origin,
+Reading: archives, plain or of any number of gzip members, are parsed record by record; records of other kinds are passed over.  Whole records are judged at once; segments are dealt by their origin,
 put in the order of their numbers, checked against the total length and joined; then the chunked framing is decoded.
 
 Scale: pages are read once for their digests (in the JVM) and once for the archives.  Only digests are grouped, with
@@ -15,7 +15,9 @@ its own size threshold and otherwise deals with both sides, splitting hot digest
 
 Defined cases: null html is an empty payload; a null url is an empty target; rows that repeat the response's page_id and
 payload are responses as well; a null page_id never is the response of a group that has another; a record with a missing
-segment, a wrong length or broken framing is returned with ``intact`` false and no payload digest.
+segment, a wrong length or broken framing is returned with ``intact`` false and no payload digest; a record that names no
+page has a null page_id; an empty table makes no archive and no row; very long html goes into as many segments as it takes; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import hashlib
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,30 +133,75 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 3
 _HEAD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(header, block) of each record of an archive."""
-    at = 0
+def inflated(raw: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """What an archive holds, in pieces: one gzip member after the other (a member a record is usual), or the bytes as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    view, at = memoryview(raw), 0
     while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = raw.index(b"\r\n\r\n", at)
-        head = {k.lower(): v for k, v in _HEAD.findall(raw, raw.index(CRLF, at) + 2, end + 2)}
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(raw):
+            fed = view[at : at + piece]
+            yield member.decompress(fed)
+            at += len(fed) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("the last gzip member is cut short")
+        while at < len(raw) and raw[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
+def parse(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(header, block) of each record of an archive that is not packed."""
+    return parse_pieces([raw])
+
+
+def parse_pieces(pieces: Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(header, block) of each record of an archive that comes in pieces; holds one record and one piece at a time."""
+    held, done, source = bytearray(), 0, iter(pieces)
+
+    def more() -> bool:
+        for piece in source:
+            if piece:
+                held.extend(piece)
+                return True
+        return False
+
+    while held or more():
+        while len(held) < 5 and more():
+            pass
+        if held[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {done}")
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError(f"the record at byte {done} has no end of its header")
+        head = {k.lower(): v for k, v in _HEAD.findall(bytes(held[: end + 2]), held.index(CRLF) + 2)}
         start, size = end + 4, int(head[b"content-length"])
-        yield head, raw[start : start + size]
-        if raw[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        at = start + size + 4
+        while len(held) < start + size + 4 and more():
+            pass
+        if held[start + size : start + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} does not end where it says")
+        yield head, bytes(held[start : start + size])
+        del held[: start + size + 4]
+        done += start + size + 4
 
 
 def _page_of(name: bytes | None) -> int | None:
-    found = (name or b"").split(b":")
-    return int(found[2]) if len(found) > 3 and found[2] else None
+    """The page_id in a record id that :func:`records_of` has made; other ids have none."""
+    found = re.fullmatch(rb"<urn:page:(-?\d+):.*>", name or b"", re.S)
+    return int(found[1]) if found else None
+
+
+#: Kinds of records that hold pages; all others (warcinfo, request, metadata, ...) are passed over.
+PAGES = (b"response", b"revisit")
 
 
 def judge(head: dict[bytes, bytes], block: bytes | None) -> dict:
     """What a whole record says; ``block`` is None where segments are missing or do not add up."""
     kind, stated = head[b"warc-type"].decode(), head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
-    out = {"page_id": _page_of(head[b"warc-record-id"]), "payload_bytes": None, "payload_digest": None, "record_type": kind, "refers_to": _page_of(head.get(b"warc-refers-to")), "intact": False}
+    out = {"page_id": _page_of(head.get(b"warc-record-id")), "payload_bytes": None, "payload_digest": None, "record_type": kind, "refers_to": _page_of(head.get(b"warc-refers-to")), "intact": False}
     try:
         http, body = (block or b"").split(b"\r\n\r\n", 1)
         fields = {k.lower(): v for k, v in _HEAD.findall(http + CRLF, http.index(CRLF) + 2)}
@@ -191,17 +238,23 @@ _ARROW_PARTS = pa.schema([*_ARROW, ("origin", pa.string()), ("number", pa.int32(
 
 
 def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """A row for each page record in the archives below ``path``."""
+    """A row for each page record in the archives below ``path``: plain or gzip files of up to 2 GB (what one row of Spark's reader holds)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):
-                rows = []
-                for head, block in parse(zlib.decompress(raw.as_py(), 31)):
-                    number = head.get(b"warc-segment-number")
+                rows, size = [], 0
+                for head, block in parse_pieces(inflated(raw.as_py())):
+                    number, kind = head.get(b"warc-segment-number"), head.get(b"warc-type")
+                    if kind not in (*PAGES, b"continuation"):
+                        continue
+                    if len(rows) >= 1024 or size > 8 << 20:
+                        yield _batch(rows, _ARROW_PARTS)
+                        rows, size = [], 0
                     if number is None:
                         rows.append(judge(head, block))
                         continue
+                    size += len(block)
                     total, origin = head.get(b"warc-segment-total-length"), head.get(b"warc-segment-origin-id", head[b"warc-record-id"])
                     lines = b"".join(b"%b: %b\r\n" % item for item in head.items())
                     rows.append({"origin": origin.decode(), "number": int(number), "total": total and int(total), "head": lines, "content": block})
@@ -215,7 +268,7 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
                 return []
             if first is None:  # continuations whose origin is missing
                 return [{"page_id": _page_of(origin.encode()), "record_type": "response", "intact": False}]
-            return [judge(first, join_segments(held))]
+            return [judge(first, join_segments(held))] if first.get(b"warc-type") in PAGES else []
 
         for batch in batches:
             rows = []
@@ -225,7 +278,7 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
                     held, origin, first = [], row["origin"], None
                 held.append((row["number"], row["total"], row["content"]))
                 if row["number"] == 1:
-                    first = dict(_HEAD.findall(row["head"]))
+                    first = {k.lower(): v for k, v in _HEAD.findall(row["head"])}
             if rows:
                 yield _batch(rows, _ARROW)
         if held:

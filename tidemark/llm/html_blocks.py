@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A quote opens a value only after "="; a value whose quote is never closed is read as unquoted.  Nothing is scanned twice: of each
+#: quote at most one is open, and a tag, comment or declaration that does not end ends the page.
+_ATTRIBUTE = r"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)(?:>|(\Z))|[^<]++|<", re.S)
+_NAMES = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Elements whose content is not text of the page, and those that hold raw characters up to their end tag.
@@ -73,7 +77,8 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     here = Element("", None, 0, False, False)
     parts: list[str] = []
-    inline: list[str] = []
+    inline: Counter[str] = Counter()  # open inline elements of the block
+    opened: Counter[str] = Counter()  # open block elements
     linked = 0
 
     def flush() -> None:
@@ -86,32 +91,38 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def close(up: Element) -> None:
+        """End all elements below ``up``."""
+        nonlocal here
+        while here is not up:
+            opened[here.tag] -= 1
+            here = here.parent
+
     at, size = 0, len(page)
     while at < size:
         match = _TOKEN.match(page, at)
         token, at = match[0], match.end()
         tag = match[2]
         if tag is None:
-            if not token.startswith(("<!", "<?")):
+            if not token.startswith(("<!", "<?", "</")):
                 parts.append(token)
-                if "a" in inline:
+                if inline["a"] > 0:
                     linked += len(token)
             continue
+        if match[4] is not None:  # never closed
+            break
         tag = tag.lower()
         if match[1]:  # an end tag
             if tag in INLINE:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
+                inline[tag] -= inline[tag] > 0
             elif tag not in VOID:
                 flush()
                 inline.clear()
-                up = here
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent:
-                    here = up.parent
+                if opened[tag] > 0:
+                    up = here
+                    while up.tag != tag:
+                        up = up.parent
+                    close(up.parent)
             elif tag == "br":
                 parts.append(" ")
             continue
@@ -124,7 +135,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
         elif tag in INLINE:
             if not match[3].rstrip().endswith("/"):
-                inline.append(tag)
+                inline[tag] += 1
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -132,19 +143,20 @@ def blocks(page: str) -> list[Block]:
             flush()
             inline.clear()
             if here.tag == "p":
-                here = here.parent
+                close(here.parent)
             elif tag in IMPLIED and IMPLIED[tag]:
                 up = here
                 while up.parent and up.tag in IMPLIED[tag]:
                     up = up.parent
-                here = up
+                close(up)
             elif tag == "body" and here.boiler:
                 up = here
                 while up.parent and up.tag != "html":
                     up = up.parent
-                here = up
+                close(up)
             here = _element(tag, match[3], here)
+            opened[tag] += 1
             if match[3].rstrip().endswith("/") and tag in ("svg", "template"):
-                here = here.parent
+                close(here.parent)
     flush()
     return found

@@ -50,8 +50,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-#: Two independent hashes: one for anchors, one for whole fragments.
-GRAM, WHOLE = Rolling(0x9E3779B97F4A7C15, 11), Rolling(0xD6E8FEB86659FD93, 12)
+#: The hash of anchors.
+GRAM = Rolling(0x9E3779B97F4A7C15, 11)
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:

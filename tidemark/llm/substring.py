@@ -7,7 +7,7 @@ Method.  Texts are cut into fragments by content: consecutive strings that share
 that are equal have equal anchors at equal places, so all occurrences of a string lie in fragments of one anchor key,
 and what follows works on one key at a time:
 
-1. Each fragment is named by its key and the hash of its whole bytes (128 bits together).  Equal fragments are one
+1. Each fragment is named by its key (a rolling hash of the anchor) and the XXH3 of its whole bytes, 128 bits together.  Equal fragments are one
    string for the construction: all but the first are removed whole.  Fragments whose key occurs once are unique.
 2. The distinct fragments of a key that has several go, with their bytes, through the column-wise construction of a
    collection Burrows-Wheeler transform with common prefixes (see ``bwt``).  Runs with a common prefix of the full
@@ -25,7 +25,8 @@ holds one block of whole keys, about ``block`` strings.  Results of each step ar
 
 Defined cases: null or empty text is zero bytes and keeps zero bytes; a text shorter than ``length`` is kept whole; a null
 doc_id comes before all others; rows that share a doc_id count as the same document, so that only a smaller place
-in either is earlier, and equal rows do not remove each other at equal places; other columns pass through untouched.
+in either is earlier, and equal rows do not remove each other at equal places; an empty table gives no row; a text of any length is
+cut in one task; other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,22 @@ ANCHOR = 0xFF  # never a byte of valid UTF-8: stands for the anchor
 
 
 def _fragments(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """Fragments of all texts with ``whole``, their hash, ``ordinal`` in the text, and the bytes and text starts."""
+    """Fragments of all texts with their ``ordinal`` in the text, and the bytes and text starts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
     with np.errstate(over="ignore"):
         found = an.anchors(data, lengths, length, gram)
-        found["whole"] = an.WHOLE.at(an.WHOLE.prefix(data), found["first"], found["last"] + length) if len(found["key"]) else found["key"]
     heads = np.searchsorted(found["text"], np.arange(len(texts)))
     found["ordinal"] = np.arange(len(found["text"])) - heads[found["text"]]
     return found | {"data": data, "base": np.cumsum(lengths) - lengths}
 
 
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The XXH3 of each stretch of bytes."""
+    raw, digest = memoryview(data.tobytes()), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def _documents(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "row_": F.hash("text")})
 
@@ -133,7 +140,7 @@ def _keys(length: int, gram: int, buckets: int, held: int):
             if len(found["key"]):
                 text = found["text"]
                 ids, rows = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("id_", "row_"))
-                parts.append([found["key"], found["whole"], ids, rows, found["ordinal"]])
+                parts.append([found["key"], _names(found["data"], found["first"], found["last"] + length), ids, rows, found["ordinal"]])
                 count += len(text)
             if count > held:
                 yield from pack()
@@ -249,7 +256,8 @@ def _cut_out(length: int, gram: int):
                 many = (last - first + 1)[own]
                 start = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 with np.errstate(over="ignore"):
-                    one, two = (r.at(r.prefix(found["data"]), start, start + length).view(np.int64) for r in (an.GRAM, an.WHOLE))
+                    one = an.GRAM.at(an.GRAM.prefix(found["data"]), start, start + length).view(np.int64)
+                two = _names(found["data"], start, start + length).view(np.int64)
                 back = np.repeat(own, many)
                 yield rows(kind=np.full(len(start), HOT), key=one, other=two, id_=ids[back], row_=row[back], start=start - base[back])
 

@@ -39,6 +39,8 @@ class Catalog:
     policies: dict[str, list[str]] = field(default_factory=dict)
     masks: dict[str, list[Mask]] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    constraints: list[tuple[str, str, str]] = field(default_factory=list)
+    indexes: list[tuple[str, str, str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -65,6 +67,56 @@ class Catalog:
     def mask(self, table: str, *masks: Mask) -> None:
         self.masks[table.lower()] = list(masks)
 
+    def change(self, name: str, after: DataFrame, returned: DataFrame | None = None, as_: str | None = None) -> None:
+        """Put a changed table in place; the rows that the change returns become a table of their own, for the rest of a statement."""
+        self.create(name, after)
+        if as_ is not None and returned is not None:
+            self.create(as_, returned)
+
+    def add_constraint(self, table: str, kind: str, text: str) -> None:
+        """ALTER TABLE ADD: ``check`` with a condition, ``unique`` with columns, or ``parent`` with "column -> table.key".
+
+        Rows that break it already are an error.
+        """
+        broken = self.violations(table, kind, text)
+        if not broken.isEmpty():
+            raise ValueError(f"rows of {table} break {kind} {text}")
+        self.constraints.append((table.lower(), kind, text))
+
+    def violations(self, table: str, kind: str, text: str) -> DataFrame:
+        """What breaks a constraint of any kind of :meth:`add_constraint`."""
+        from .operators import constraints as found
+
+        rows = self.raw(table)
+        if kind == "check":
+            return found.check_violations(rows, F.expr(text))
+        if kind == "unique":
+            return found.unique_violations(rows, [c.strip() for c in text.split(",")])
+        if kind == "parent":
+            column, _, parent = (x.strip() for x in text.partition("->"))
+            other, key = parent.split(".")
+            return found.foreign_key_violations(rows, column, self.raw(other), key)
+        raise ValueError(kind)
+
+    def create_index(self, name: str, table: str, *columns: str) -> DataFrame:
+        """A copy of the table that is sorted by the columns, whose row-group statistics skip what an index would."""
+        from .scratch import Scratch
+
+        kept = Scratch(self.spark, "index").save(self.raw(table).repartitionByRange(*columns).sortWithinPartitions(*columns), name)
+        self.create(table, kept)
+        self.indexes.append((name, table.lower(), ", ".join(columns)))
+        return kept
+
+    def drop_index(self, name: str) -> None:
+        """Forget an index; the table stays as it lies."""
+        self.indexes = [x for x in self.indexes if x[0] != name]
+
+    def show_indexes(self) -> DataFrame:
+        return self.spark.createDataFrame(sorted(self.indexes), "name string, table_name string, columns string")
+
+    def show_constraints(self) -> DataFrame:
+        return self.spark.createDataFrame(sorted(self.constraints), "table_name string, kind string, definition string")
+
     def raw(self, name: str) -> DataFrame:
         key = name.lower()
         if key in self.views:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAP = "map<string,string>"
@@ -75,3 +75,14 @@ def first_element(value: Column) -> Column:
 def elements(value: Column) -> Column:
     """The elements as an array of texts, to explode."""
     return F.from_json(value, "array<string>")
+
+
+def object_agg(rows: DataFrame, keys: list[str], name: str, value: str, order: str) -> DataFrame:
+    """JSON_OBJECT_AGG: ``keys`` and an ``object`` of names and values as text, names in order.
+
+    Of a repeated name the last value by ``order`` stays, found by an aggregation with map-side combining before objects are made;
+    null names are left out, and no rows without keys make an empty object.
+    """
+    last = rows.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.max_by(F.struct(value), order).alias("last_"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("k"), F.col(f"last_.{value}").alias("v"))))
+    return last.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("object"))

@@ -5,6 +5,8 @@ A table is immutable; each operator returns the table as it is afterwards.  Writ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,63 @@ def upsert_update(table: DataFrame, rows: DataFrame, keys: list[str], order: Col
     return table.join(last, keys, "left_anti").unionByName(last.select(*table.columns))
 
 
+def upsert_set(table: DataFrame, rows: DataFrame, keys: list[str], order: str, values: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """INSERT ... ON CONFLICT DO UPDATE SET with expressions over the row that is there and the incoming (excluded) one.
+
+    ``values(old, excluded)`` gives new values of some columns from two structs.  Several incoming rows of a key act one after the
+    other in the order of column ``order``: the first is inserted where the key is new, each further one updates.  The incoming
+    rows of one key meet in one task; the table's are joined by key.
+    """
+    fields = table.schema.fields
+    cast = lambda s: F.struct(*[s[f.name].cast(f.dataType).alias(f.name) for f in fields])
+
+    def apply(old: Column, excluded: Column) -> Column:
+        new = values(old, excluded)
+        return F.struct(*[new.get(f.name, old[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+
+    entry = F.struct(F.col(order).alias("order_"), F.struct(*table.columns).alias("row_"))
+    incoming = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("in_"))
+    own = table.select(*keys, F.struct(*table.columns).alias("old_"))
+    both = own.join(incoming, keys, "full")
+    steps = F.transform(F.coalesce("in_", F.array().cast(incoming.schema["in_"].dataType)), lambda e: cast(e["row_"]))
+    is_new = F.col("old_").isNull()
+    first = F.when(is_new, F.get(steps, F.lit(0))).otherwise(cast(F.col("old_")))
+    rest = F.when(is_new, F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))).otherwise(steps)
+    return both.select(F.aggregate(rest, first, apply).alias("row_")).select("row_.*")
+
+
+def insert_checked(
+    table: DataFrame,
+    rows: DataFrame,
+    computed: dict[str, Column] | None = None,
+    defaults: dict[str, Column] | None = None,
+    checks: dict[str, Column] | None = None,
+    unique: list[str] = (),
+    parents: dict[str, tuple[DataFrame, str]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The table after an insert, and the rows that were refused with the names of what they violate.
+
+    Defaults fill nulls, then computed columns are set; ``checks`` refuse what is known to be false; a key ``unique`` must be new and
+    occur once (nulls are never equal); ``parents`` gives (table, key) of the columns that refer to another.
+    """
+    rows = insert(table.limit(0), rows, defaults).withColumns({c: F.coalesce(F.col(c), v.cast(table.schema[c].dataType)) for c, v in (defaults or {}).items()})
+    rows = rows.withColumns({c: v.cast(table.schema[c].dataType) for c, v in (computed or {}).items()})
+    faults = [F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in (checks or {}).items()]
+    faults += [F.when(F.col(f.name).isNull(), F.lit(f"not null {f.name}")) for f in table.schema.fields if not f.nullable]
+    seen, at = rows, [F.col(c) for c in table.columns]
+    if unique:
+        taken = table.select(*unique).distinct().withColumn("taken_", F.lit(True))
+        counts = rows.groupBy(*unique).agg(F.count("*").alias("many_"))
+        seen = seen.join(counts, list(unique), "left").join(taken, list(unique), "left")
+        faults.append(F.when(F.coalesce(F.col("taken_"), F.lit(False)) | (F.coalesce("many_", F.lit(1)) > 1), F.lit("unique")))
+    for i, (column, (parent, key)) in enumerate((parents or {}).items()):
+        known = parent.select(F.col(key).alias(f"key{i}_")).distinct()
+        seen = seen.join(known, F.col(column) == F.col(f"key{i}_"), "left")
+        faults.append(F.when(F.col(column).isNotNull() & F.col(f"key{i}_").isNull(), F.lit(f"parent of {column}")))
+    judged = seen.select(*at, F.filter(F.array(*faults, F.lit(None).cast("string")), lambda f: f.isNotNull()).alias("violates"))
+    return table.unionByName(judged.where(F.size("violates") == 0).drop("violates")), judged.where(F.size("violates") > 0)
+
+
 def merge(table: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None, insert: dict[str, Column] | None = None, delete_when: Column | None = None) -> DataFrame:
     """MERGE by equal keys: one full outer join.
 

@@ -45,7 +45,8 @@ def all_of(frame: DataFrame, column: Column, comparison: str, values: DataFrame)
     least, most = agg(F.min(name)), agg(F.max(name))
     tests = {"<": column < least, "<=": column <= least, ">": column > most, ">=": column >= most, "=": (column == least) & (column == most)}
     if comparison == "!=":
-        return frame.join(values.select(F.col(name).alias("value_")), (column == F.col("value_")) | column.isNull() | F.col("value_").isNull(), "left_anti")
+        unmatched = frame.join(values.select(F.col(name).alias("value_")).distinct(), column == F.col("value_"), "left_anti")
+        return unmatched.where((count == 0) | ((nulls == 0) & column.isNotNull()))
     return frame.where((count == 0) | ((nulls == 0) & tests[comparison]))
 
 
@@ -53,9 +54,10 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int
     """Rows reachable from a seed: each round applies ``step`` to the newest rows and keeps what is new.
 
     Unlike a recursive query, repeats are dropped, so cycles end.  Each round is written to the shared folder, which cuts
-    the lineage; the newest rows alone are joined.
+    the lineage; the newest rows alone are joined.  What was found lies in one table and at most ``parts`` rounds beside it, so
+    plans stay small; the test of what is new reads a round's candidates and what was found, dealt by row.
     """
-    scratch = Scratch(seed.sparkSession, "fixpoint")
+    scratch, parts = Scratch(seed.sparkSession, "fixpoint"), 8
     new = scratch.save(seed.distinct(), "round0")
     found = new
     for turn in range(1, most + 1):
@@ -64,6 +66,11 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int
         if new.isEmpty():
             return found
         found = found.unionByName(new)
+        if turn % parts == 0:
+            found = scratch.save(found, f"found{turn}")
+            for old in range(max(0, turn - parts), turn):
+                scratch.drop(f"round{old}")
+            scratch.drop(f"found{turn - parts}")
     raise RuntimeError(f"no fixpoint after {most} rounds")
 
 

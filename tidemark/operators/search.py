@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Words that search ignores.
 STOP_WORDS = (
     "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need", "it", "its", "he", "she", "they", "we", "you", "i", "me", "my",
@@ -38,11 +40,13 @@ def match(text: Column, query: str, least: float = 0.1) -> Column:
 def bm25(documents: DataFrame, key: str, column: str, query: str) -> DataFrame:
     """Score of each document that holds a term of the query.
 
-    The corpus statistics are aggregates of one scan; only (term, document) rows of the query's few terms are counted, and
+    The texts are read once: lengths and the terms that are asked for go to a table in the shared folder, from which the
+    corpus statistics and the counts come; only (term, document) rows of the query's few terms are counted, and
     document frequencies come back as a table of at most that many rows.
     """
     terms = sorted(set(query_terms(query)))
     base = documents.select(key, tokens(F.col(column), stop=True).alias("t_")).select(key, F.size("t_").alias("len_"), F.filter("t_", lambda x: x.isin(*terms)).alias("hits_"))
+    base = Scratch(documents.sparkSession, "bm25").save(base, "base")
     stats = base.agg(F.struct(F.count("*").alias("n_docs"), F.avg("len_").alias("avg_len")).alias("s")).scalar()
     n, avg = stats["n_docs"], stats["avg_len"]
     tf = base.where(F.size("hits_") > 0).select(key, "len_", F.explode("hits_").alias("term")).groupBy(key, "len_", "term").agg(F.count("*").alias("tf"))

@@ -19,15 +19,13 @@ def insert_select(db):
     return changes.insert(_orders(db), new, {"o_orderstatus": F.lit("N")})
 
 
-@query("SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) - 99 AS o_orderkey FROM orders WHERE o_orderkey BETWEEN 100 AND 199 AND (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= 100) = 100")
-def insert_auto_increment(db):
-    rows = _orders(db).where("o_orderkey BETWEEN 100 AND 199").select(F.col("o_orderkey").alias("old"))
-    return changes.numbered(_orders(db), rows, "o_orderkey", "old").select("o_orderkey")
+_NUMBERED = "SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(o_orderkey) FROM orders) AS o_orderkey FROM orders WHERE o_orderstatus = 'F'"
 
 
-@query("SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(o_orderkey) FROM orders) AS o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-def insert_auto_increment_whole(db):
-    """All rows of one status; insert_auto_increment numbers at most 100."""
+@query(_NUMBERED, name="insert_auto_increment_whole")
+@query(_NUMBERED)
+def insert_auto_increment(db):
+    """All orders of one status, inserted again under the next numbers."""
     rows = _orders(db).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("old"))
     return changes.numbered(_orders(db), rows, "o_orderkey", "old").select("old", "o_orderkey")
 

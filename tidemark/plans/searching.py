@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, semantic_match
+from ..functions.arrays import cosine
 from ..operators import search, vectors
 from .core import query
 
@@ -33,14 +33,12 @@ def bm25(db):
     return search.bm25(db.table("documents"), "doc_id", "text", "the idiot thea anin").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 400), '(the)', '<b>\\1</b>', 'gi') AS marked FROM documents")
-def fts_highlight(db):
-    return db.table("documents").select("doc_id", search.highlight_all(F.left("text", F.lit(400)), ["the"]).alias("marked"))
+_MARKED = "SELECT doc_id, regexp_replace(text, '(the)', '<b>\\1</b>', 'gi') AS marked FROM documents"
 
 
-@query("SELECT doc_id, regexp_replace(text, '(the)', '<b>\\1</b>', 'gi') AS marked FROM documents")
-def fts_highlight_whole(db):
-    """The whole texts; fts_highlight marks their first 400 characters."""
+@query(_MARKED, name="fts_highlight_whole")
+@query(_MARKED)
+def fts_highlight(db):
     return db.table("documents").select("doc_id", search.highlight_all(F.col("text"), ["the"]).alias("marked"))
 
 
@@ -59,24 +57,17 @@ def inverted_and_search(db):
     return search.having_all(search.inverted(rows, "key", "text"), "key", ["the", "and"]).select("key.conv_id", "key.turn")
 
 
-@query(
-    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id FROM (SELECT vec_id, list_cosine_similarity(embedding, (SELECT q FROM q)) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10"""
-)
-def vector_cosine_topk(db):
-    table = db.table("embeddings")
-    wanted = table.where("vec_id = 0").select("embedding").first()["embedding"]  # one query vector
-    return vectors.nearest(table, "vec_id", "embedding", wanted, 10).select("vec_id")
-
-
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 
 
-@query(
-    f"""SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, a.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COSINE}, 9) DESC, a.vec_id) AS rank
+_NEAREST = f"""SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, a.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COSINE}, 9) DESC, a.vec_id) AS rank
     FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10"""
-)
-def vector_cosine_topk_each(db):
-    """All query vectors against all rows; vector_cosine_topk takes one."""
+
+
+@query(_NEAREST, name="vector_cosine_topk_each")
+@query(_NEAREST)
+def vector_cosine_topk(db):
+    """All query vectors against all rows."""
     rows = db.table("embeddings")
     return vectors.nearest_each(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), 10).select("query", "vec_id", "rank")
 
@@ -88,16 +79,13 @@ def vector_pairs(db):
     return a.join(b, F.col("y") == F.col("x") + 1).select("x", "y", (F.round(cosine(F.col("e"), F.col("f")), 3) > 0.2).alias("alike"))
 
 
-@query("SELECT a.vec_id FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE list_cosine_similarity(a.embedding, q.embedding) > 0.7")
-def semantic_match_vectors(db):
-    wanted = db.table("embeddings").where("vec_id = 5").select("embedding").first()["embedding"]
-    query_vector = F.array(*[F.lit(float(x)) for x in wanted])
-    return db.table("embeddings").where(semantic_match(F.col("embedding"), query_vector)).select("vec_id")
+_ALIKE = f"SELECT q.vec_id AS query, a.vec_id FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 AND {_COSINE} > 0.7"
 
 
-@query(f"SELECT q.vec_id AS query, a.vec_id FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 AND {_COSINE} > 0.7")
-def semantic_match_vectors_each(db):
-    """All query vectors against all rows; semantic_match_vectors takes one."""
+@query(_ALIKE, name="semantic_match_vectors_each")
+@query(_ALIKE)
+def semantic_match_vectors(db):
+    """All query vectors against all rows."""
     rows = db.table("embeddings")
     return vectors.alike_each(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), 0.7).select("query", "vec_id")
 

@@ -39,15 +39,9 @@ def quantified_any_equal(db):
     return relational.any_of(db.table("supplier"), F.col("s_nationkey"), "=", nations).select("s_suppkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders WHERE o_custkey % 10 = 0)")
-def quantified_all(db):
-    orders = db.table("orders")
-    return relational.all_of(orders, F.col("o_totalprice"), ">=", orders.where("o_custkey % 10 = 0").select("o_totalprice")).select("o_orderkey")
-
-
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders)", name="quantified_all_whole")
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders)")
-def quantified_all_whole(db):
-    """Against all orders; quantified_all compares with those of every tenth customer."""
+def quantified_all(db):
     orders = db.table("orders")
     return relational.all_of(orders, F.col("o_totalprice"), ">=", orders.select("o_totalprice")).select("o_orderkey")
 

@@ -8,16 +8,18 @@ of one stride, so the record of a slot is found by a division, and a reader goes
 
 A record: slot (8 bytes), ids that are not padding (4), CRC-32 of the ids (4), all ids (2 bytes each, little-endian), a line end.
 
-Scale: between the steps the sequences lie compressed in the shared folder.  Shards are written in ``waves`` of slot ranges, so
-that only part of the corpus is in the shuffle at a time and a failure costs a wave at most.  The driver
-holds one number a task.
+Scale: between the steps the sequences lie compressed in the shared folder, written again by wave once their slots are known, so
+each is read once.  Shards are written in ``waves`` of slot ranges, so that only part of the corpus is in the shuffle at a time and a failure
+costs a wave at most.  The driver holds one number a task.
 
-Defined cases: null or empty text is the end id alone; repeated rows are written each; an empty table makes no sequence and
-no shard; a null doc_id appears as null in the lists; other columns are not read.
+Defined cases: null or empty text is the end id alone; a very long text runs through as many sequences as it takes; repeated rows are written
+each; an empty table makes no sequence and no shard; a null doc_id appears as null in the lists; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -117,24 +119,24 @@ def sequences(documents: DataFrame, length: int, paths: tuple[str, str | None],
     return documents.select("doc_id", "text").mapInArrow(run, SEQUENCES)
 
 
-def write_shards(documents: DataFrame, path: str | None = None, key: int = 20240101, length: int = 1024, per_shard: int = 16384, waves: int = 4, paths: tuple[str, str | None] | None = None, end_id: int = 2, pad_id: int = 50256) -> DataFrame:
+def write_shards(documents: DataFrame, path: str | None = None, key: int = 20240101, length: int = 1024, per_shard: int = 4096, waves: int = 4, paths: tuple[str, str | None] | None = None, end_id: int = 2, pad_id: int = 50256, special: bool = False) -> DataFrame:
     """Write the shards below ``path`` (a folder a wave, a file a shard, in order) and describe each sequence.
 
-    Returns slot, shard, ``byte_start`` in the shard, n_tokens, ids_crc32 and doc_ids of each sequence.
+    Returns what :func:`read_shards` reads back (slot, shard, ``byte_start`` in the shard, n_tokens, ids_crc32, intact), and the
+    doc_ids of each sequence.
     """
     import gc
 
     spark = documents.sparkSession
     scratch = Scratch(spark, "materialise")
     path = path or scratch.path("shards")
-    made = scratch.save(sequences(documents, length, paths or vocabulary_paths(), end_id, pad_id), "sequences")
+    made = scratch.save(sequences(documents, length, paths or vocabulary_paths(), end_id, pad_id, special), "sequences")
     counts = {r["block"]: r["n"] for r in made.groupBy("block").agg(F.count("*").alias("n")).collect()}  # one row a task
     blocks = sorted(counts)
     starts = np.zeros(max(blocks, default=-1) + 1, np.int64)
     starts[blocks] = np.cumsum([0, *(counts[b] for b in blocks)])[:-1] if blocks else 0
     total = sum(counts.values())
     shuffle, base = Permutation(total, key), spark.sparkContext.broadcast(starts)
-    stride = struct.calcsize(HEAD) + 2 * length + 1
 
     @F.pandas_udf("long")
     def slot_of(block, number):
@@ -148,19 +150,66 @@ def write_shards(documents: DataFrame, path: str | None = None, key: int = 20240
             columns = (batch.column(c).to_pylist() for c in ("slot", "n_tokens", "ids_crc32", "payload"))
             yield pa.RecordBatch.from_arrays([pa.array([struct.pack(HEAD, s, n, c) + expand(p) for s, n, c, p in zip(*columns, strict=True)], pa.binary())], names=["record"])
 
-    placed = made.withColumn("slot", slot_of("block", "number"))
     shards = -(-total // per_shard)
     a_wave = max(1, -(-shards // waves))
-    for first in range(0, shards, a_wave):
+    placed = made.withColumn("slot", slot_of("block", "number")).withColumn("wave", F.floor(F.col("slot") / (per_shard * a_wave)).cast("int"))
+    placed.select("slot", "n_tokens", "ids_crc32", "doc_ids", "payload", "wave").write.partitionBy("wave").parquet(scratch.path("placed"))
+    scratch.drop("sequences")
+    schema = "slot long, n_tokens int, ids_crc32 long, doc_ids array<bigint>, payload binary, wave int"
+    placed = spark.read.schema(schema).parquet(scratch.path("placed"))
+    for wave, first in enumerate(range(0, shards, a_wave)):
         many = min(a_wave, shards - first)
-        own = placed.select("slot", "n_tokens", "ids_crc32", "payload").where((F.col("slot") >= first * per_shard) & (F.col("slot") < (first + many) * per_shard))
+        own = placed.where(F.col("wave") == wave).select("slot", "n_tokens", "ids_crc32", "payload")  # reads this wave's files only
         dealt = own.repartitionById(many, (F.floor(F.col("slot") / per_shard) - first).cast("int")).sortWithinPartitions("slot")
         records = dealt.mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
-        records.write.option("lineSep", "\n").text(f"{path}/wave-{first // a_wave:05d}")
+        records.write.option("lineSep", "\n").text(f"{path}/wave-{wave:05d}")
         gc.collect()
         spark._jvm.System.gc()  # the wave's shuffle files may go
-    slot = F.col("slot")
-    return placed.select("slot", F.floor(slot / per_shard).cast("long").alias("shard"), (F.pmod(slot, F.lit(per_shard)) * stride).cast("long").alias("byte_start"), "n_tokens", "ids_crc32", "doc_ids")
+    if not shards:
+        return spark.createDataFrame([], READ + ", doc_ids array<bigint>")
+    found = read_shards(spark, path, length, a_wave)
+    return found.join(placed.select("slot", "doc_ids"), "slot")
+
+
+READ = "slot long, shard long, byte_start long, n_tokens long, ids_crc32 long, intact boolean"
+
+
+def read_shards(spark: SparkSession, path: str, length: int, a_wave: int, first: int = 0, with_ids: bool = False) -> DataFrame:
+    """The records of the shards from slot ``first`` on, as they lie on disk: READ, and with ``with_ids`` the ``ids`` (little-endian, 2 bytes).
+
+    ``a_wave`` is the number of shards of a wave.  A reader that was interrupted goes on with ``first``: folders of earlier waves
+    are not opened, and within a shard the place of the slot is found by a division.  ``intact`` tells whether slot, checksum and
+    line end are what they should be.
+    """
+    kind = np.dtype([("slot", "<i8"), ("n", "<u4"), ("crc", "<u4"), ("ids", "<u2", (length,)), ("end", "u1")])
+    names = [x.split()[0] for x in READ.split(", ")] + ["ids"] * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                wave, part = map(int, _PLACE.search(place).groups())
+                rows = np.frombuffer(raw.as_buffer(), kind)
+                crc = np.array([zlib.crc32(own.tobytes()) for own in rows["ids"]], np.int64)
+                start = np.arange(len(rows)) * kind.itemsize
+                fine = (crc == rows["crc"]) & (rows["end"] == 10) & (np.diff(rows["slot"], prepend=rows["slot"][0] - 1) == 1)
+                keep = rows["slot"] >= first
+                columns = [rows["slot"], np.full(len(rows), wave * a_wave + part), start, rows["n"].astype(np.int64), rows["crc"].astype(np.int64), fine]
+                out = [pa.array(np.ascontiguousarray(c[keep])) for c in columns]
+                if with_ids:
+                    out.append(pa.array([own.tobytes() for own in rows["ids"][keep]], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    if first:
+        shard = F.regexp_extract("path", _PLACE.pattern, 1).cast("long") * a_wave + F.regexp_extract("path", _PLACE.pattern, 2).cast("long")
+        last = files.select(F.max(shard)).first()[0]  # names only; no content is read
+        stride = kind.itemsize
+        per_shard = files.where(shard == 0).select("length").first()[0] // stride
+        files = files.where(shard >= min(first // per_shard, last))
+    return files.select("path", "content").mapInArrow(run, READ + ", ids binary" * with_ids)
+
+
+_PLACE = re.compile(r"wave-(\d+)/part-(\d+)")
 
 
 def read_record(raw: bytes) -> tuple[int, int, np.ndarray]:

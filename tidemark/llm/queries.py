@@ -36,7 +36,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise.write_shards(table(spark, sf_dir, "documents"))
+    return materialise.write_shards(table(spark, sf_dir, "documents"), special=True)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -616,10 +616,12 @@ def _first_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
     with a null doc_id have no name to be dropped by and stay.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    counted = groups.where("doc_id is not null").groupBy("group_", "doc_id", "row_").agg(F.count("*").alias("n"))
+    counted = groups.where("doc_id is not null").groupBy("group_", "component_id", "doc_id", "row_").agg(F.count("*").alias("n"))
     counted = scratch.save(counted, "rows")
-    first = counted.groupBy("group_").agg(F.min(F.struct("doc_id", "row_")).alias("first"))
-    later = counted.join(first, "group_").where("struct(doc_id, row_) != first").select("doc_id", "row_").distinct()
+    # only rows with the smallest doc_id are compared, nearly always one a group
+    first = counted.where("doc_id = component_id")
+    other = first.join(first.groupBy("group_").agg(F.min("row_").alias("first")), "group_").where("row_ != first")
+    later = counted.where("doc_id != component_id").select("doc_id", "row_").union(other.select("doc_id", "row_")).distinct()
     named = documents.withColumn("row_", F.xxhash64("text"))
     names = [F.col(f"`{c}`") for c in documents.columns]
     kept = named.join(later, ["doc_id", "row_"], "left_anti")

@@ -148,3 +148,34 @@ class Catalog:
         """Columns, types and nullability."""
         fields = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(self.table(name).schema.fields)]
         return self.spark.createDataFrame(fields, "position int, name string, type string, nullable boolean")
+
+
+class Databases:
+    """Catalogs by name, each over a folder of its own; one of them is current."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.current = spark, ""
+        self.catalogs: dict[str, Catalog] = {}
+
+    def create(self, name: str, folder: str, missing_only: bool = False) -> Catalog:
+        key = name.lower()
+        if not re.fullmatch(r"[a-z_]\w*", key):
+            raise ValueError(f"no name for a database: {name}")
+        if key in self.catalogs and not missing_only:
+            raise KeyError(f"database {name} exists")
+        return self.catalogs.setdefault(key, Catalog(self.spark, folder))
+
+    def drop(self, name: str, missing_ok: bool = False) -> None:
+        """Forget a database; its files stay.  If it was current, none is."""
+        if self.catalogs.pop(name.lower(), None) is None and not missing_ok:
+            raise KeyError(name)
+        if self.current == name.lower():
+            self.current = ""
+
+    def use(self, name: str) -> Catalog:
+        found = self.catalogs[name.lower()]
+        self.current = name.lower()
+        return found
+
+    def show(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, n == self.current) for n in sorted(self.catalogs)], "name string, current boolean")

@@ -30,6 +30,11 @@ def to_char(value: Column, sql_format: str) -> Column:
     return F.date_format(value, pattern(sql_format))
 
 
+def current_time() -> Column:
+    """The time of day in UTC (the session's zone), as HH:MM:SS."""
+    return F.date_format(F.current_timestamp(), "HH:mm:ss")
+
+
 def trunc(part: str, value: Column) -> Column:
     """Start of the year, month, day, hour, minute or second, without a zone."""
     return F.date_trunc(part, value).cast("timestamp_ntz")

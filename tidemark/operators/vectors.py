@@ -121,3 +121,11 @@ def embed(text: Column, embedder: Callable[[pd.Series], pd.Series] = hashed_embe
         return embedder(texts)
 
     return run(text)
+
+
+def semantic_match(frame: DataFrame, left: str, right: str, least: float = 0.7) -> DataFrame:
+    """Rows whose two operands point the same way; an operand that is text is embedded first, once a row."""
+    kinds = {f.name: f.dataType.typeName() for f in frame.schema.fields}
+    vector = lambda c: F.col(c) if kinds[c] == "array" else embed(F.col(c))
+    known = frame.withColumns({"left_vector_": vector(left), "right_vector_": vector(right)})
+    return known.where(cosine(F.col("left_vector_"), F.col("right_vector_")) > least).drop("left_vector_", "right_vector_")

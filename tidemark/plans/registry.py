@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, changing, extended, files_and_streams, joins, scalars, scans, searching, subqueries, windowing  # noqa: F401  (they register)
+from . import aggregates, changing, details, extended, files_and_streams, joins, scalars, scans, searching, subqueries, windowing  # noqa: F401  (they register)
 from .core import ORACLES, QUERIES
 
 

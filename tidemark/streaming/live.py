@@ -6,6 +6,7 @@ stream against.
 
 from __future__ import annotations
 
+import queue
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +62,45 @@ def live_query(source: DataFrame, query: Callable[[DataFrame], DataFrame], publi
 def after_change(source: DataFrame, trigger: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """An AFTER trigger: a function of each batch of new rows."""
     source.writeStream.foreachBatch(trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class Subscriber:
+    """Answers of a live query that wait for a reader, at most ``room`` of them.
+
+    ``post`` has the form of a ``publish`` function's last step: it takes what names an answer (a version, a path), not its
+    rows.  When there is no room, ``drop`` leaves the new answer out, ``evict`` the oldest waiting one, and ``block`` waits for
+    ``patience`` seconds and then ends the subscription.
+    """
+
+    def __init__(self, room: int, policy: str = "drop", patience: float = 5.0) -> None:
+        if policy not in ("drop", "block", "evict"):
+            raise ValueError(policy)
+        self.policy, self.patience, self.open = policy, patience, True
+        self.waiting: queue.Queue = queue.Queue(room)
+
+    def post(self, answer: object) -> bool:
+        """Whether the subscription goes on."""
+        if not self.open:
+            return False
+        try:
+            self.waiting.put(answer, block=self.policy == "block", timeout=self.patience)
+        except queue.Full:
+            if self.policy == "block":
+                self.open = False
+            elif self.policy == "evict":
+                self._replace_oldest(answer)
+        return self.open
+
+    def _replace_oldest(self, answer: object) -> None:
+        try:
+            self.waiting.get_nowait()
+        except queue.Empty:  # a reader was faster
+            pass
+        self.waiting.put_nowait(answer)
+
+    def take(self) -> object | None:
+        """The oldest waiting answer, None if there is none."""
+        try:
+            return self.waiting.get_nowait()
+        except queue.Empty:
+            return None

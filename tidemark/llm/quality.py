@@ -7,8 +7,9 @@ ablation) needs bitwise operations over the ledger and no second look at the tex
 DataFrame functions only.  One scan, no shuffle: repeats are found inside the row, by sorting (hash, position) pairs
 of the 8-word windows of those texts that have an equal pair at all.
 
-Defined cases: null text has no words, measures zero and fails the word count; repeated rows are judged row by row;
-columns of the input are kept by :func:`ledger` under their own names, the ledger's under ``prefix``.
+Defined cases: null or empty text has no words, measures zero and fails the word count; repeated rows are judged row by row, and
+rows with a null doc_id like any other; an empty table gives no row; a very long text is judged in whole, by one row's sort of its
+windows; columns of the input are kept by :func:`ledger` under their own names, the ledger's under ``prefix``.
 """
 
 from __future__ import annotations
